@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontamination, substring_dedup
+from engram.llm import decontamination, mixing, near_dedup, substring_dedup, token_counts, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substring_dedup": substring_dedup.query,
+        "op4_near_dedup": near_dedup.query,
         "op7_decontamination": decontamination.query,
+        "op8_token_counts": token_counts.query,
+        "op9_token_output": token_output.query,
+        "op10_mixing": mixing.query,
     }
 
 
