@@ -10,6 +10,8 @@ from engram.llm.common import documents, table
 SPACE = "[\\x20\\x09-\\x0D]+"
 MOST_COPIES = 3
 _FINE = 1024
+#: Names for the hashes that tell a row.
+MARK = ["_mark_a", "_mark_b"]
 
 
 def word_count(text: str = "text") -> Column:
@@ -42,7 +44,7 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...]
     return s.withColumn("final", final).select("source", "rank", "source_size", share.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int = MOST_COPIES) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int = MOST_COPIES, marked: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (size * copies) for each row of docs (doc_id, source, text).
 
     Every source is a queue of its documents in an order shuffled by hash, most times over. A copy's finish time is the
@@ -52,7 +54,8 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int =
     Documents without words have no share (copies 0), nor does anything if all are so; equal rows are taken alike.
     """
     text = size if size is not None else word_count()
-    base = docs.select("doc_id", "source", text.alias("size")).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
+    mark = [F.lit(None).cast("long").alias(c) for c in MARK] if not marked else [F.col(c) for c in MARK]
+    base = docs.select("doc_id", "source", text.alias("size"), *mark).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     base = table(base, "mix_sizes")
     n = max(base.count(), 1)
     bits = min(max((n // 4096).bit_length(), 4), 20)
@@ -65,7 +68,7 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int =
     rows = base.withColumn("upto", F.sum("size").over(inner))
     rows = rows.alias("r").join(slices.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.slice") == F.col("s.slice")))
     upto = F.col("before") + F.col("upto")
-    rows = table(rows.select("r.doc_id", "r.source", "size", "key", "rank", "source_size", "target", upto.alias("upto")), "mix_queues")
+    rows = table(rows.select("r.doc_id", "r.source", "size", *MARK, "key", "rank", "source_size", "target", upto.alias("upto")), "mix_queues")
 
     def finish(e) -> Column:
         return (F.col("upto") + e * F.col("source_size")) / F.col("target")
@@ -101,7 +104,22 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int =
 
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum(fits(e).cast("int") for e in range(most))).otherwise(0)
     out = rows.withColumn("copies", taken.cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(MARK if marked else []))
+
+
+def mix_documents(docs: DataFrame, seed: int = 42, most: int = MOST_COPIES) -> DataFrame:
+    """Rows of docs as often as the mix takes them, 0 to most times each, with the columns that docs has.
+
+    A row is found again by two hashes of all its columns; rows that are equal in all of them are dealt their copies
+    one by one.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.withColumns({c: F.xxhash64(F.lit(i), *cols) for i, c in enumerate(MARK)})
+    copies = mix(own, None, seed, most, marked=True).groupBy(*MARK).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    place = F.row_number().over(Window.partitionBy(*MARK).orderBy(F.lit(0)))
+    rows = own.join(copies, MARK).withColumn("_place", place)
+    times = F.element_at("_copies", F.col("_place"))
+    return rows.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
