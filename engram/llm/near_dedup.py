@@ -14,11 +14,18 @@ from engram.llm.common import documents, ship, small_batches, table, text_bytes
 from engram.llm.components import components
 from engram.llm.words import U, Words, grams, mix
 
-PERMUTATIONS = 30
-ROWS = 3
-#: Standard errors below the threshold at which signatures rule a pair out.
+PERMUTATIONS = 48
+#: Values in a band.
+ROWS = 4
+#: Standard errors below the threshold at which sketches rule a pair out.
 SIGMAS = 5
+#: Members from which a bucket is dealt anew by more values, and by how many other bands.
+LARGE, FURTHER = 4000, 4
+#: Ids that may be broadcast (16 MB); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, PERMUTATIONS * 4), dtype=np.uint64) * U(2) + U(1)
+#: Codes of two bits in a 64-bit word of a sketch.
+_CODES = 32
 
 
 def shingle_sets(texts, k: int) -> list[np.ndarray]:
@@ -50,23 +57,43 @@ def min_max(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sig (2 * permutations integers) for each row of docs."""
-    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int32()))])
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of rows values."""
+    out = np.zeros((len(sig), sig.shape[1] // rows), U)
+    with np.errstate(over="ignore"):
+        for b in range(out.shape[1]):
+            h = np.full(len(sig), b + 1, U)
+            for r in range(rows):
+                h = mix((h ^ sig[:, b * rows + r].view(np.uint32)) * U(0x9E3779B97F4A7C15))
+            out[:, b] = h
+    return out.view(np.int64)
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each value, in 64-bit words."""
+    words = -(-sig.shape[1] // _CODES)
+    out = np.zeros((len(sig), words), U)
+    for i in range(sig.shape[1]):
+        out[:, i // _CODES] |= (sig[:, i] & 3).astype(U) << U(2 * (i % _CODES))
+    return out.view(np.int64)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def signatures(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, keys (of the bands), sketch for each row of docs."""
+    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 2 << 20):
             sets = shingle_sets(b.column(1), shingle)
             sig = min_max(sets, permutations)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * sig.shape[1]), pa.array(sig.ravel()))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists], schema=fields)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(band_keys(sig, rows)), _lists(sketches(sig))], schema=fields)
 
-
-def _bands(rows: int, permutations: int) -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + r] for r in range(rows)]) for b in range(2 * permutations // rows)])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -102,17 +129,57 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int, permutations: int) -> DataFrame:
-    """Pairs (a, b) that sizes and signatures don't rule out."""
-    j = percent / 100
-    least = 2 * permutations * (j - SIGMAS * (j * (1 - j) / (2 * permutations)) ** 0.5)
-    r = reps.select("id", "n", "sig")
-    p = pairs.join(r.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(r.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return p.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (same >= F.lit(least))).select("a", "b")
+def _likely(x: str, y: str, percent: int, permutations: int) -> Column:
+    """Whether sizes and sketches (columns n, sketch of x and y) leave it open that two sets reach the threshold."""
+    values = 2 * permutations
+    j = percent / 100 + (1 - percent / 100) / 4  # equal values have equal codes, others one time in four
+    most = values - values * j + SIGMAS * (values * j * (1 - j)) ** 0.5
+    even = 0x5555555555555555
+
+    def differ(i: int) -> Column:
+        d = F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(even)))
 
+    words = -(-values // _CODES)
+    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & (sum((differ(i) for i in range(1, words)), differ(0)) <= F.lit(int(most)))
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, pivots: int = 3) -> DataFrame:
+
+def _among(pairs: DataFrame, reps: DataFrame, percent: int, permutations: int) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches don't rule out."""
+    r = reps.select("id", "n", "sketch")
+    x, y = r.withColumnRenamed("id", "a").alias("x"), r.withColumnRenamed("id", "b").alias("y")
+    return pairs.join(x, "a").join(y, "b").where(_likely("x", "y", percent, permutations)).select("a", "b")
+
+
+def _between(rest: DataFrame, reps: DataFrame, percent: int, permutations: int) -> DataFrame:
+    """Likely pairs (a, b) of different components in one bucket. rest: key, id, component.
+
+    Buckets of LARGE members or more are dealt anew: a member goes to FURTHER buckets, each by one more band, and so
+    again while there are such. Two sets at the threshold meet in about half of all bands, so that in many buckets,
+    and miss each other in all with a chance below one in a million; what many documents share in part falls apart.
+    """
+    full = reps.select("id", "n", "sketch", "keys")
+    now = table(rest.join(full, "id"), "rest")
+    done = None
+    for level in range(4):
+        size = now.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
+        large = table(size, "large")
+        if level == 3 or large.isEmpty():
+            break
+        small = now.join(large.select("key"), "key", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        bands = F.size("keys")
+        pick = F.transform(F.sequence(F.lit(1), F.lit(FURTHER)), lambda j: F.xxhash64("key", j, F.element_at("keys", (F.pmod(F.xxhash64("key", F.lit(level)) + j, bands) + 1).cast("int"))))
+        now = table(now.join(large.select("key"), "key", "left_semi").withColumn("key", F.explode(pick)), "rest")
+    now = now if done is None else done.unionByName(now)
+    now = now.drop("keys")
+    x, y = now.alias("x"), now.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _likely("x", "y", percent, permutations))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, pivots: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) for each row of docs (doc_id, text).
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| of their shingle sets. One with no words has an empty
@@ -120,24 +187,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
     document with several texts. Equal sets are one class from the start, whatever their number. Signatures of
     2 * permutations values are cut into bands of rows values; classes that share a band are compared: first with the
     bucket's least member and with others by hash (pivots), then, in buckets that still hold several components, with
-    all of other components (at once where those pairs are few). So copies of one text cost a comparison each, and yet no pair that shares a band is lost.
-    A pair at the threshold shares none of 20 bands of 3 with probability 5e-9 at 85 and 6e-7 at 80 percent.
+    all of other components, where sizes and sketches inside the join rule out nearly all. So copies of one text cost a
+    comparison each. A pair at the threshold shares none of 24 bands of 4 with probability 2e-8 at 85 and 3e-6 at 80
+    percent.
     """
     spark = docs.sparkSession
     ship(spark)
-    sigs = table(signatures(docs, shingle, permutations), "signatures")
-    reps = table(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    dealt = reps.select("id", F.explode(_bands(rows, permutations)).alias("key"))
+    sigs = table(signatures(docs, shingle, permutations, rows), "signatures")
+    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "sketch")).alias("r")
+    reps = table(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(first).select("digest", "r.*"), "classes")
+    dealt = reps.select("id", F.explode("keys").alias("key"))
     hubs = dealt.groupBy("key").agg(F.min("id").alias("p0"), F.max("id").alias("last")).where("p0 <> last")
     held = table(dealt.join(hubs.select("key", "p0"), "key"), "buckets")
-    texts = table(docs.select(F.col("doc_id").alias("id"), "text").join(held.select("id").distinct(), "id", "left_semi"), "candidate_texts")
-    tried = held.where("id <> p0").select(F.least("id", "p0").alias("a"), F.greatest("id", "p0").alias("b")).distinct()
-    links = table(_confirm(_likely(tried, reps, percent, permutations), texts, shingle, percent), "links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+        few = ids.count() <= MOST_BROADCAST
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        return _confirm(pairs, table(texts, "candidate_texts"), shingle, percent)
+
+    tried = table(held.where("id <> p0").select(F.least("id", "p0").alias("a"), F.greatest("id", "p0").alias("b")).distinct(), "tried")
+    links = table(confirmed(table(_among(tried, reps, percent, permutations), "likely")), "links")
     for turn in range(1, pivots + 2):
         comp = table(components(links), "components")
-        now = held.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "p0", F.coalesce("component", "id").alias("component"))
+        now = held.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         split = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key", F.when(F.xxhash64(F.lit(turn), "c0") < F.xxhash64(F.lit(turn), "c1"), F.col("c0")).otherwise(F.col("c1")).alias("c"))
-        rest = table(now.join(split, "key"), "rest")
+        rest = table(now.join(split, "key"), "split")
         per = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n"))
         left = per.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not left["n"]:
@@ -146,12 +221,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
         if not last:  # one component of the bucket, its member least by hash, against all others
             hub = rest.where("component = c").groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
             more = rest.where("component <> c").join(hub, "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            more = table(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+            tried = tried.union(more)
+            likely = table(_among(more, reps, percent, permutations), "likely")
         else:
-            x, y = rest.alias("x"), rest.alias("y")
-            more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        more = table(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        tried = tried.union(more)
-        links = table(links.union(_confirm(_likely(more, reps, percent, permutations), texts, shingle, percent)), "links")
+            likely = table(_between(rest.select("key", "id", "component"), reps, percent, permutations).distinct().join(tried, ["a", "b"], "left_anti"), "likely")
+        links = table(links.union(confirmed(likely)), "links")
         if last:
             comp = table(components(links), "components")
             break
