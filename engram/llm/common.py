@@ -48,10 +48,13 @@ def drop_table(df: DataFrame) -> None:
 
 
 _SHIPPED: set[str] = set()
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once a session; they need not see the driver's folders."""
+    if spark.conf.get(_ARROW_BYTES, None) in (None, "-1"):  # batches by size, so that long texts don't add up
+        spark.conf.set(_ARROW_BYTES, str(8 << 20))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -93,7 +96,7 @@ def ids_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(column, NULL_ID).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else pc.fill_null(column, NULL_ID).to_numpy(), np.int64)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many bytes of text, one row at least."""
     for b in batches:
         if not b.num_rows:

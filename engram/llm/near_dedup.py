@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS,
     fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 2 << 20):
+        for b in small_batches(batches, "text", 1 << 20):
             sets = shingle_sets(b.column(1), shingle)
             sig = min_max(sets, permutations)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
