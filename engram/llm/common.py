@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import os
+import sys
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -71,6 +75,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Frees what earlier tasks of this Python worker keep for later ones; workers serve one stage after another."""
+    if tokens := sys.modules.get("engram.llm.tokens"):
+        tokens.word_tokens.cache_clear()
+        tokens.byte_tokens.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches, table, text_bytes
+from engram.llm.common import documents, give_back, ship, small_batches, table, text_bytes
 from engram.llm.substring_dedup import SuffixAutomaton
 from engram.llm.words import ALNUM, Words, grams, whole
 
@@ -94,6 +94,7 @@ def _pass(df: DataFrame, items: Items) -> DataFrame:
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         found = cache.get("items") or cache.setdefault("items", pickle.loads(shared.value))
         for b in small_batches(batches, "_text"):
             raw, offsets = text_bytes(b.column(b.schema.get_field_index("_text")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches, table, text_bytes
+from engram.llm.common import documents, give_back, ship, small_batches, table, text_bytes
 from engram.llm.components import components
 from engram.llm.words import U, Words, grams, mix
 
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS,
     fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in small_batches(batches, "text", 1 << 20):
             sets = shingle_sets(b.column(1), shingle)
             sig = min_max(sets, permutations)
@@ -113,6 +114,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in small_batches(small_batches(batches, "ta"), "tb"):
             ids = [b.column(i).to_pylist() for i in (0, 1)]
             known: dict[int, int] = {}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches
+from engram.llm.common import documents, give_back, ship, small_batches
 
 BUCKETS = 1 << 20
 #: Bounds on what the driver fits on: documents of either kind, and features of the model.
@@ -141,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     picked = spark.createDataFrame(chosen, "doc_id long, positive boolean")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known = _Known(word_features)
         for b in small_batches(batches, "text"):
             out = [np.unique(np.fromiter((f for w in set(_WORD.findall(t.lower())) for f in known[w]), np.int32)).tobytes() for t in b.column(1).to_pylist()]
@@ -177,6 +178,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         of = shared.value.scorer()
         for b in small_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([float(of(t or "")) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
@@ -193,6 +195,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         of = shared.value.scorer()
         for b in small_batches(batches, "text"):
             yield b.filter(pa.array([of(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
