@@ -11,7 +11,7 @@ import numpy as np
 
 U = np.uint64
 _R, _Q = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 #: All but white space: `[^\x20\x09-\x0D]`.
 SPACED = np.ones(256, bool)
