@@ -136,10 +136,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_
     return df
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated (n_items >= least_items)."""
     n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    return find_passages(docs, benchmark, window).select("_row.doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), (F.size("_items") >= least_items).alias("contaminated"))
+    return find_passages(docs, benchmark, window, shard_words).select("_row.doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), (F.size("_items") >= least_items).alias("contaminated"))
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_span: int = 8, most_coverage: float = 0.5) -> DataFrame:

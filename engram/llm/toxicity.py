@@ -109,6 +109,19 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 3
     return w, float(b)
 
 
+def centre(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, threshold: float) -> float:
+    """What to add to all logits so that threshold moves halfway to the cut of least risk.
+
+    The risk of a cut is prior * missed positives + the unlabelled above it beyond what prior explains, as in training.
+    It is measured on the rows that the model was fitted on, hence only half the way.
+    """
+    cuts = np.unique(np.quantile(z_pos, np.linspace(0, 1, 401)))
+    missed = np.array([(z_pos < c).mean() for c in cuts])
+    extra = np.array([(z_unl >= c).mean() for c in cuts]) - prior * (1 - missed)
+    best = cuts[np.argmin(prior * missed + np.maximum(extra, 0))]
+    return float(np.log(threshold / (1 - threshold)) - best) / 2
+
+
 def _surplus(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     """Likelihood ratio (G) of each feature being as frequent in both samples; 0 where it isn't more so in the first."""
 
@@ -120,7 +133,7 @@ def _surplus(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return np.where((a / n > b / m) & (a >= 3), g, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES, threshold: float = 0.7) -> Model:
     """Fits on at most most_positive toxic and most_unlabelled other documents, chosen by hash of their ids.
 
     Of the labels only rows that ``held_out`` doesn't name count: their toxic ones are the positives, and their share
@@ -167,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             x[i, p[p >= 0]] = 1
         return x
 
-    w, b = fit_nnpu(dense(pos), dense(unl), prior)
+    x_pos, x_unl = dense(pos), dense(unl)
+    w, b = fit_nnpu(x_pos, x_unl, prior)
+    b += centre(x_pos @ w + b, x_unl @ w + b, prior, threshold)
     return Model({int(f): float(x) for f, x in zip(best, w, strict=True) if x}, b, prior)
 
 
