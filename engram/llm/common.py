@@ -75,9 +75,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def give_back() -> None:
-    """Frees what earlier tasks of this Python worker keep for later ones; workers serve one stage after another."""
-    if tokens := sys.modules.get("engram.llm.tokens"):
+def tidy(run, keep: bool = False):
+    """A mapInArrow function that leaves no memory behind in its Python worker, which serves one stage after another.
+
+    keep: what the tokenizers remember stays for this stage's later tasks.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep)
+        yield from run(batches)
+        give_back(keep)
+
+    return wrapped
+
+
+def give_back(keep: bool) -> None:
+    if not keep and (tokens := sys.modules.get("engram.llm.tokens")):
         tokens.word_tokens.cache_clear()
         tokens.byte_tokens.cache_clear()
     gc.collect()

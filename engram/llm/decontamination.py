@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, give_back, ship, small_batches, table, text_bytes
+from engram.llm.common import documents, ship, small_batches, table, text_bytes, tidy
 from engram.llm.substring_dedup import SuffixAutomaton
 from engram.llm.words import ALNUM, Words, grams, whole
 
@@ -94,7 +94,6 @@ def _pass(df: DataFrame, items: Items) -> DataFrame:
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         found = cache.get("items") or cache.setdefault("items", pickle.loads(shared.value))
         for b in small_batches(batches, "_text"):
             raw, offsets = text_bytes(b.column(b.schema.get_field_index("_text")))
@@ -114,7 +113,7 @@ def _pass(df: DataFrame, items: Items) -> DataFrame:
             columns = {"_words": pa.array(np.diff(w.first)), "_hits": pa.array(hits, old_hits.type), "_items": pa.array(names, old_items.type)}
             yield pa.RecordBatch.from_arrays([columns.get(f.name, b.column(i)) for i, f in enumerate(b.schema)], schema=b.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_words: int = SHARD_WORDS, text: bool = False) -> DataFrame:
@@ -169,7 +168,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, leas
                 out.append(raw[keep].tobytes().decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_row", "_cut"])
 
-    rows = kept.mapInArrow(cut, f"_row {kept.schema['_row'].dataType.simpleString()}, _cut string")
+    rows = kept.mapInArrow(tidy(cut), f"_row {kept.schema['_row'].dataType.simpleString()}, _cut string")
     text = F.coalesce("_cut", "_row.text")
     new = {"text": text.alias("text")}
     if "n_chars" in where:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import ship, table
+from engram.llm.common import ship, table, tidy
 from engram.llm.components import components
 
 #: Vectors of one bucket that are compared in one block; larger buckets take pairs of blocks.
@@ -108,7 +108,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             raw = [None if v is None else (v + 0.0).astype(kind).tobytes() for v in got]  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array([None if v is None else len(v) for v in got], pa.int32()), pa.array(raw, pa.binary())], schema=fields)
 
-    rows = table(vectors.select("vec_id", "embedding").mapInArrow(read, "vec_id long, digest binary, dim int, vec binary"), "vectors")
+    rows = table(vectors.select("vec_id", "embedding").mapInArrow(tidy(read), "vec_id long, digest binary, dim int, vec binary"), "vectors")
     usable = rows.where("vec is not null and vec_id is not null")
     classes = usable.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     n = usable.select(F.approx_count_distinct("digest")).first()[0]
@@ -129,7 +129,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "keys"])
 
-    signed = table(classes.select("digest", "id", "times", "dim", "vec").mapInArrow(sign, "digest binary, id long, times long, dim int, vec binary, keys array<int>"), "signed")
+    signed = table(classes.select("digest", "id", "times", "dim", "vec").mapInArrow(tidy(sign), "digest binary, id long, times long, dim int, vec binary, keys array<int>"), "signed")
     large = signed.select("dim", F.posexplode("keys").alias("t", "key")).groupBy("dim", "t", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).where("cuts > 1")
     dealt = signed.select("id", "times", "dim", "vec", "keys", F.posexplode("keys").alias("t", "key")).join(large, ["dim", "t", "key"], "left")
     cuts = F.coalesce("cuts", F.lit(1))
@@ -171,7 +171,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
         if rest is not None and rest.num_rows:
             yield from flush(rest)
 
-    links = table(dealt.mapInArrow(compare, "id long, links long, low long"), "vector_links")
+    links = table(dealt.mapInArrow(tidy(compare), "id long, links long, low long"), "vector_links")
     comp = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b"))
     sums = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = signed.select("digest", "id", "times").join(sums, "id", "left").join(comp, F.col("id") == F.col("node"), "left")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, give_back, ship, small_batches, table, text_bytes
+from engram.llm.common import documents, ship, small_batches, table, text_bytes, tidy
 from engram.llm.components import components
 from engram.llm.words import U, Words, grams, mix
 
@@ -100,21 +100,19 @@ def signatures(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS,
     fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for b in small_batches(batches, "text", 1 << 20):
             sets = shingle_sets(b.column(1), shingle)
             sig = min_max(sets, permutations)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(band_keys(sig, rows)), _lists(sketches(sig)), _lists(parities(sets))], schema=fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>, parity array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for b in small_batches(small_batches(batches, "ta"), "tb"):
             ids = [b.column(i).to_pylist() for i in (0, 1)]
             known: dict[int, int] = {}
@@ -141,7 +139,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     t = texts.select("id", "text")
     rows = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _likely(x: str, y: str, percent: int, permutations: int) -> Column:

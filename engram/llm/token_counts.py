@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches, text_bytes, work_dir
+from engram.llm.common import documents, ship, small_batches, text_bytes, tidy, work_dir
 from engram.llm.tokens import byte_tokens, file_digest, unusual_space
 
 _CACHE = "content binary, tokenizer string, n_tokens long"
@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
             n = [coder.count(t, o) for t, o in zip(b.column(1).to_pylist(), odd, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n)), pa.array(n, pa.int64())], schema=fields)
 
-    once.mapInArrow(run, _CACHE).write.mode("append").parquet(cache)
+    once.mapInArrow(tidy(run, keep=True), _CACHE).write.mode("append").parquet(cache)
     return keyed.join(cached_counts(spark, cache, version), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

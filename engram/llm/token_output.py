@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches, table, text_bytes, total_bytes
+from engram.llm.common import documents, ship, small_batches, table, text_bytes, tidy, total_bytes
 from engram.llm.tokens import unusual_space, word_tokens
 
 MAGIC = b"EGSEG001"
@@ -122,7 +122,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 1, segment_byt
         if keys:
             yield segment()
 
-    return table(rows.mapInArrow(run, SEGMENTS), "segments")
+    return table(rows.mapInArrow(tidy(run, keep=True), SEGMENTS), "segments")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # as many rows as partitions were written
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     starts = within.join(parts, "part").select("part", "seq", (F.col("before_seq") + F.col("before_part")).alias("before"))
-    rows = segments.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = segments.select("part", "seq", "payload").mapInArrow(tidy(run, keep=True), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

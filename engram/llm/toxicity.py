@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, give_back, ship, small_batches
+from engram.llm.common import documents, ship, small_batches, tidy
 
 BUCKETS = 1 << 20
 #: Bounds on what the driver fits on: documents of either kind, and features of the model.
@@ -154,13 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     picked = spark.createDataFrame(chosen, "doc_id long, positive boolean")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         known = _Known(word_features)
         for b in small_batches(batches, "text"):
             out = [np.unique(np.fromiter((f for w in set(_WORD.findall(t.lower())) for f in known[w]), np.int32)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["positive", "features"])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("positive", "text").mapInArrow(features, "positive boolean, features binary")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("positive", "text").mapInArrow(tidy(features), "positive boolean, features binary")
     got = [(r["positive"], np.frombuffer(r["features"], np.int32)) for r in rows.toLocalIterator()]
     got = [(p, np.frombuffer(f, np.int32)) for p, f in sorted({(p, f.tobytes()) for p, f in got})]  # copies count once
     pos, unl = [f for p, f in got if p], [f for p, f in got if not p]
@@ -193,12 +192,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         of = shared.value.scorer()
         for b in small_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([float(of(t or "")) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
-    out = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    out = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -210,12 +208,11 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         of = shared.value.scorer()
         for b in small_batches(batches, "text"):
             yield b.filter(pa.array([of(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -407,11 +407,9 @@ def test_mix_brute(spark):
     got = mixing.mix(d).toPandas()
     keyed = mixing.mix(d).select("doc_id", "source", "size", F.xxhash64(F.lit(42), "doc_id", "source", "size").alias("k")).collect()
     assert dict(zip(got.doc_id, got.taken, strict=True)) == brute_mix([tuple(r) for r in keyed])
-    want = brute_targets({s: int(g["size"].sum()) for s, g in got.assign(source=got.source.astype(object).where(got.source.notna(), None)).groupby("source", dropna=False)} | {})
+    want = brute_targets({None if pd.isna(s) else s: int(g["size"].sum()) for s, g in got.groupby("source", dropna=False)})
     for s, g in got.groupby("source", dropna=False):
-        key = None if pd.isna(s) else s
-        if key in want:
-            assert g.target.iloc[0] == pytest.approx(want[key])
+        assert g.target.iloc[0] == pytest.approx(want[None if pd.isna(s) else s])
     assert (got.taken <= 3 * got["size"]).all()
     for _, g in got.groupby("source", dropna=False):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 2 * g["size"].max() + 1
