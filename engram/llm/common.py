@@ -75,22 +75,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def tidy(run, keep: bool = False):
+def tidy(run):
     """A mapInArrow function that leaves no memory behind in its Python worker, which serves one stage after another.
 
-    keep: what the tokenizers remember stays for this stage's later tasks.
+    Not for the tokenizers' own stages: what they remember serves their later tasks.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back(keep)
+        give_back()
         yield from run(batches)
-        give_back(keep)
+        give_back()
 
     return wrapped
 
 
-def give_back(keep: bool) -> None:
-    if not keep and (tokens := sys.modules.get("engram.llm.tokens")):
+def give_back() -> None:
+    if tokens := sys.modules.get("engram.llm.tokens"):
         tokens.word_tokens.cache_clear()
         tokens.byte_tokens.cache_clear()
     gc.collect()

@@ -81,7 +81,7 @@ class _Units(dict):
 class WordTokens:
     """Ids of a tokenizer that lower-cases, drops white space and splits letters, digits and signs."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.lib = load(path)
         self.kind = "<u2" if self.lib.get_vocab_size() < 1 << 16 else "<u4"
         self.cores = _Units(self._core, most)
@@ -111,7 +111,7 @@ _TIGHT = re.compile(r"(?:^|\s) | (?:\s|$)")
 class ByteTokens:
     """Numbers of ids of a byte-level tokenizer whose pieces may begin with one space."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.lib = load(path)
         self.cores = _Units(lambda piece: len(self.lib.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))), most)
         self.units = _Units(self._unit, most)
