@@ -65,23 +65,27 @@ def unusual_space(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Units(dict):
-    """What is known of units of text; forgets all when full."""
+    """What is known of units of text, in two generations: when one is full, the one before it is forgotten."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, unit: str):
+        out = self.before.get(unit)
+        if out is None:
+            out = self.make(unit)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        out = self[unit] = self.make(unit)
+        self[unit] = out
         return out
 
 
 class WordTokens:
     """Ids of a tokenizer that lower-cases, drops white space and splits letters, digits and signs."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.lib = load(path)
         self.kind = "<u2" if self.lib.get_vocab_size() < 1 << 16 else "<u4"
         self.cores = _Units(self._core, most)
@@ -111,7 +115,7 @@ _TIGHT = re.compile(r"(?:^|\s) | (?:\s|$)")
 class ByteTokens:
     """Numbers of ids of a byte-level tokenizer whose pieces may begin with one space."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.lib = load(path)
         self.cores = _Units(lambda piece: len(self.lib.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))), most)
         self.units = _Units(self._unit, most)
