@@ -89,7 +89,16 @@ def shards_of(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[I
     yield now.frozen()
 
 
-def _pass(df: DataFrame, items: Items) -> DataFrame:
+def _without(w: Words, first: int, text: np.ndarray, start: int, spans: list[dict]) -> str:
+    """A text, whose bytes begin at start of w's and whose words at first, without spans of words."""
+    keep = np.ones(len(text), bool)
+    for x in spans:
+        keep[int(w.start[first + x["start"]]) - start : int(w.end[first + x["stop"] - 1]) - start] = False
+    return text[keep].tobytes().decode()
+
+
+def _pass(df: DataFrame, items: Items, cut: int | None) -> DataFrame:
+    """What items add to _hits and _items; with cut, _text comes without hit spans of at least so many words."""
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(items))
     cache: dict = {}
 
@@ -110,15 +119,22 @@ def _pass(df: DataFrame, items: Items) -> DataFrame:
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
                 hits[r] = [{"start": int(s), "stop": int(t)} for s, t in edge.reshape(-1, 2)]
                 names[r] = sorted(by_row.get(r, set()) | set(old_items[r].as_py()))
-            columns = {"_words": pa.array(np.diff(w.first)), "_hits": pa.array(hits, old_hits.type), "_items": pa.array(names, old_items.type)}
+            texts = b.column(b.schema.get_field_index("_text"))
+            if cut is not None and touched:
+                long = {r: [x for x in hits[r] if x["stop"] - x["start"] >= cut] for r in touched}
+                texts = pa.array([_without(w, int(w.first[r]), raw[offsets[r] : offsets[r + 1]], int(offsets[r]), long[r]) if long.get(r) else texts[r].as_py() for r in range(b.num_rows)], texts.type)
+            columns = {"_text": texts, "_words": pa.array(np.diff(w.first)), "_hits": pa.array(hits, old_hits.type), "_items": pa.array(names, old_items.type)}
             yield pa.RecordBatch.from_arrays([columns.get(f.name, b.column(i)) for i, f in enumerate(b.schema)], schema=b.schema)
 
     return df.mapInArrow(tidy(run), df.schema)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_words: int = SHARD_WORDS, text: bool = False) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_words: int = SHARD_WORDS, cut: int | None = None) -> DataFrame:
     """Each row of docs (as struct _row) with _words (count), _hits (merged ranges of hit words), _items (item ids).
 
+    cut: _row has all columns, and _text is the text without hit spans of at least so many words; by default _row has
+    the id only. The last pass cuts, so that a task keeps one Python worker and sends it each text once.
+
     Texts: A-Z lower-cased, words of digits, a-z and characters beyond ASCII. A window is so many consecutive words of
     an item; an item of fewer, but not none, is one window. Nulls have no words; items without an id are left out;
     equal ids are one item. Shards of items are broadcast one after the other, each of at most shard_words words and
@@ -127,12 +143,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_
     spark = docs.sparkSession
     ship(spark)
     df = docs.select(
-        F.struct(*([c for c in docs.columns] if text else ["doc_id"])).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"), F.lit(0).cast("long").alias("_words"),
+        F.struct(*([c for c in docs.columns] if cut is not None else ["doc_id"])).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"), F.lit(0).cast("long").alias("_words"),
         F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)").alias("_hits"), F.expr("cast(array() as array<string>)").alias("_items"),
     )
-    for k, items in enumerate(shards_of(benchmark, window, shard_words)):
-        df = _pass(table(df, "passages") if k else df, items)
-    return df
+    shards = shards_of(benchmark, window, shard_words)
+    items = next(shards)
+    for following in shards:
+        df, items = table(_pass(df, items, None), "passages"), following
+    return _pass(df, items, cut)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -147,32 +165,13 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, leas
     A span goes from its first word's first byte to its last word's last. Rows with no span stay byte for byte; nulls
     stay null. Columns as docs has them; n_chars, if there, follows the text.
     """
-    found = find_passages(docs, benchmark, window, text=True)
-    where = {c: i for i, c in enumerate(docs.columns)}
+    found = find_passages(docs, benchmark, window, cut=least_span)
     size = F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    kept = found.where(size <= F.lit(most_coverage) * F.col("_words")).select("_row", "_text", F.filter("_hits", lambda x: x["stop"] - x["start"] >= least_span).alias("_hits"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = b.column(2)
-            out = []
-            for r in range(b.num_rows):
-                if not len(hits[r]):
-                    out.append(None)
-                    continue
-                raw = np.frombuffer(b.column(1)[r].as_py().encode(), np.uint8)
-                w = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True)
-                keep = np.ones(len(raw), bool)
-                for x in hits[r].as_py():
-                    keep[w.start[x["start"]] : w.end[x["stop"] - 1]] = False
-                out.append(raw[keep].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_row", "_cut"])
-
-    rows = kept.mapInArrow(tidy(cut), f"_row {kept.schema['_row'].dataType.simpleString()}, _cut string")
-    text = F.coalesce("_cut", "_row.text")
-    new = {"text": text.alias("text")}
-    if "n_chars" in where:
-        new["n_chars"] = F.when(F.col("_cut").isNull(), F.col("_row.n_chars")).otherwise(F.length("_cut").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    rows = found.where(size <= F.lit(most_coverage) * F.col("_words"))
+    is_cut = F.exists("_hits", lambda x: x["stop"] - x["start"] >= least_span)
+    new = {"text": F.when(is_cut, F.col("_text")).otherwise(F.col("_row.text")).alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(is_cut, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")).alias("n_chars")
     return rows.select(*[new.get(c, F.col(f"_row.`{c}`").alias(c)) for c in docs.columns])
 
 
