@@ -227,6 +227,16 @@ def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in docs}
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    """Members of one bucket that share no further band: each pair of different components comes out once."""
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
+    rest = spark.createDataFrame([(7, i, i // 2) for i in range(20)], "key long, id long, component long")
+    alike = "id long, n long, keys array<long>, sketch array<long>, parity array<long>"
+    reps = spark.createDataFrame([(i, 10, [100 * i + b for b in range(24)], [0] * 3, [0] * 16) for i in range(20)], alike)
+    got = near_dedup._between(rest, reps, 85, near_dedup.PERMUTATIONS).collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(20) for b in range(a + 1, 20) if a // 2 != b // 2]
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(50)] + [(100, 200), (300, 200), (None, 1)] + [(1000, 1000 + i) for i in range(1, 60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
