@@ -114,22 +114,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(small_batches(batches, "ta"), "tb"):
-            ids = [b.column(i).to_pylist() for i in (0, 1)]
-            known: dict[int, int] = {}
-            place: list[tuple[int, int]] = []
-            for side in (0, 1):
-                for row, x in enumerate(ids[side]):
-                    if x not in known:
-                        known[x] = len(place)
-                        place.append((side, row))
-            sets = [None] * len(place)
-            for side in (0, 1):
-                mine = [i for i, (s, _) in enumerate(place) if s == side]
-                for i, s in zip(mine, shingle_sets(b.column(2 + side).take(pa.array([place[i][1] for i in mine], pa.int64())), shingle), strict=True):
-                    sets[i] = s
+            texts = pa.concat_arrays([b.column(2), b.column(3)]).fill_null("").dictionary_encode()  # an id may have several
+            sets, at = shingle_sets(texts.dictionary, shingle), texts.indices.to_numpy()
             ok = []
-            for x, y in zip(*ids, strict=True):
-                p, q = sets[known[x]], sets[known[y]]
+            for x, y in zip(at[: b.num_rows].tolist(), at[b.num_rows :].tolist(), strict=True):
+                p, q = sets[x], sets[y]
                 both = np.concatenate((p, q))
                 both.sort()
                 n = int((both[1:] == both[:-1]).sum())
@@ -248,9 +237,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that ``near_duplicates`` doesn't keep, and with one row at most of each id that it names."""
-    out = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row, of the smallest id, of each group that ``near_duplicates`` links, and of equal id and text.
+
+    Where ids repeat, each id and text is a document of its own, so that a text doesn't go for another text of its id.
+    Rows without an id stay.
+    """
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+    one = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_one")
+    digest = F.coalesce(F.sha2("text", 256), F.lit("")).alias("_digest")
+    rows = named.groupBy("doc_id", digest).agg(one).orderBy("doc_id", "_digest")
+    rows = table(rows.select(F.monotonically_increasing_id().alias("_node"), "_one"), "rows")  # numbers in the order of ids
+    out = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "_one.text"), shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
+    kept = rows.join(out, F.col("_node") == F.col("_gone"), "left_anti").select("_one.*")
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

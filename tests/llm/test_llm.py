@@ -220,6 +220,15 @@ def test_near_odd(spark, odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {None, 1, 2, 4, 7}
 
 
+def test_near_repeated_ids(spark):
+    base, other = " ".join(f"b{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, base), (5, base + " end"), (5, other), (9, "same row"), (9, "same row"), (None, base), (None, base), (12, None), (12, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(1, base), (5, other), (9, "same row"), (None, base), (None, base), (12, None), (12, "")])
+    texts = spark.createDataFrame([(1, base), (5, base + " end"), (5, other)], "id long, text string").coalesce(1)
+    assert [tuple(r) for r in near_dedup._confirm(spark.createDataFrame([(1, 5)], "a long, b long"), texts, 5, 80).collect()] == [(1, 5)]
+
+
 def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LARGE", 3)
     docs = {i: " ".join(f"c{j}" for j in range(60)) + " " + " ".join(f"d{i // 2}_{j}" for j in range(40)) + (" x" if i % 2 else "") for i in range(40)}
