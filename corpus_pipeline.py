@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from engram.llm import decontamination, mixing, near_dedup, token_output, toxicity
-from engram.llm.common import documents, work_dir
+from engram.llm.common import discard, documents, remove, work_dir, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of a folder; the stages' tables stay in the shared work folder."""
+    """Applies the stages to the documents of a folder. What a stage has read is removed once its own rows are written."""
     docs, top = documents(spark, sf_dir), f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
+        since = written(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        discard(spark, since)
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            remove(spark, f"{top}/{before}")
+        before = name
     return docs

@@ -18,37 +18,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_WORK = "/tmp/checkpoints/engram"
 NULL_ID = np.iinfo(np.int64).max
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in a session of one machine.
+
+    A cluster without that setting is an error: each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = LOCAL_WORK
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Folders of written tables that stand, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: what follows doesn't recompute what came before."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables of this session stand."""
+    return len(_TABLES.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables that operators of this session have written, from the since-th on.
+
+    For a job to call once the results that read them are written themselves.
+    """
+    mine = _TABLES.get(spark.sparkContext.applicationId, [])
+    while len(mine) > since:
+        remove(spark, mine.pop())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables written inside the block, also after an error, but for those given to the function it yields."""
+    mine = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    since, kept = len(mine), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.written_at)
+        return df
+
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        for path in [p for p in mine[since:] if p not in kept]:
+            mine.remove(path)
+            remove(spark, path)
 
 
 def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table that this module wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/tables/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Removes a table that ``table`` wrote and that nothing reads any more."""
+    mine = _TABLES.get(df.sparkSession.sparkContext.applicationId, [])
+    if df.written_at in mine:
+        mine.remove(df.written_at)
+        remove(df.sparkSession, df.written_at)
 
 
 _SHIPPED: set[str] = set()
@@ -58,7 +110,7 @@ _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once a session; they need not see the driver's folders."""
     if spark.conf.get(_ARROW_BYTES, None) in (None, "-1"):  # batches by size, so that long texts don't add up
-        spark.conf.set(_ARROW_BYTES, str(8 << 20))
+        spark.conf.set(_ARROW_BYTES, str(4 << 20))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -91,8 +143,8 @@ def tidy(run):
 
 def give_back() -> None:
     if tokens := sys.modules.get("engram.llm.tokens"):
-        tokens.word_tokens.cache_clear()
-        tokens.byte_tokens.cache_clear()
+        for kept in (tokens.word_tokens, tokens.byte_tokens, tokens.load):
+            kept.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
@@ -137,6 +189,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 <<
             i = j
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with as many _ behind it as no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
