@@ -19,6 +19,8 @@ BUCKETS = 1 << 20
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 9000, 3000
 #: Least surplus of a feature, about one chance in ten million: a million buckets are looked at.
 SURE = 28.0
+#: Parts of the fitted rows by which the cut is chosen.
+FOLDS = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -109,17 +111,22 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 3
     return w, float(b)
 
 
-def centre(z_pos: np.ndarray, z_unl: np.ndarray, prior: float, threshold: float) -> float:
-    """What to add to all logits so that threshold moves halfway to the cut of least risk.
+def best_cut(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> float:
+    """The logit from which on to call a text toxic: the middle of the widest run of cuts of least risk.
 
-    The risk of a cut is prior * missed positives + the unlabelled above it beyond what prior explains, as in training.
-    It is measured on the rows that the model was fitted on, hence only half the way.
+    The risk of a cut is that of the training, with errors counted: prior * missed positives + the unlabelled above it
+    beyond what prior explains, not below 0. The logits must come from models that were fitted without these rows.
     """
-    cuts = np.unique(np.quantile(z_pos, np.linspace(0, 1, 401)))
-    missed = np.array([(z_pos < c).mean() for c in cuts])
-    extra = np.array([(z_unl >= c).mean() for c in cuts]) - prior * (1 - missed)
-    best = cuts[np.argmin(prior * missed + np.maximum(extra, 0))]
-    return float(np.log(threshold / (1 - threshold)) - best) / 2
+    z = np.unique(np.concatenate((z_pos, z_unl)))
+    cuts = np.append((z[1:] + z[:-1]) / 2, z[-1] + 1) if len(z) else np.zeros(1)
+    p, u = np.sort(z_pos), np.sort(z_unl)
+    missed = np.searchsorted(p, cuts) / max(len(p), 1)
+    extra = 1 - np.searchsorted(u, cuts) / max(len(u), 1) - prior * (1 - missed)
+    risk = prior * missed + np.maximum(extra, 0)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    wide = max(runs, key=lambda r: cuts[r[-1]] - cuts[r[0]])
+    return float((cuts[wide[0]] + cuts[wide[-1]]) / 2)
 
 
 def _surplus(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
@@ -133,9 +140,45 @@ def _surplus(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return np.where((a / n > b / m) & (a >= 3), g, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES, threshold: float = 0.7) -> Model:
+def _fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most_features: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features (buckets) that positives have more often than chance has it, their weights, and the bias."""
+    in_pos, in_unl = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (pos, unl))
+    gain = _surplus(in_pos, len(pos), in_unl, len(unl))
+    best = np.argsort(-gain, kind="stable")[:most_features]
+    best = np.sort(best[gain[best] >= SURE])
+    w, b = fit_nnpu(_dense(pos, best), _dense(unl, best), prior)
+    return best, w, b
+
+
+def _dense(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    place = np.full(BUCKETS, -1)
+    place[features] = np.arange(len(features))
+    x = np.zeros((len(sets), len(features)), np.float32)
+    for i, s in enumerate(sets):
+        p = place[s]
+        x[i, p[p >= 0]] = 1
+    return x
+
+
+def _cut_by_folds(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most_features: int, folds: int) -> float | None:
+    """``best_cut`` over logits of the training rows, each from a model that didn't see its fold; None with too few rows."""
+    if min(len(pos), len(unl)) < 2 * folds:
+        return None
+    out: list[list[np.ndarray]] = [[], []]
+    for k in range(folds):
+        used = [[s for i, s in enumerate(x) if i % folds != k] for x in (pos, unl)]
+        features, w, b = _fit(used[0], used[1], prior, most_features)
+        for z, x in zip(out, (pos, unl), strict=True):
+            z.append(_dense(x[k::folds], features) @ w + b)
+    return best_cut(np.concatenate(out[0]), np.concatenate(out[1]), prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = MOST_FEATURES, threshold: float = 0.7, folds: int = FOLDS) -> Model:
     """Fits on at most most_positive toxic and most_unlabelled other documents, chosen by hash of their ids.
 
+    All logits are then shifted so that threshold stands at the cut of least risk, as cross-validation inside the same
+    rows finds it; rows held out have no part in it.
+
     Of the labels only rows that ``held_out`` doesn't name count: their toxic ones are the positives, and their share
     is the class prior; the unlabelled are any documents not held out that aren't among the positives. Rows without
     id or label don't count. With no positive, every score is near 0.
@@ -161,28 +204,16 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("positive", "text").mapInArrow(tidy(features), "positive boolean, features binary")
     got = [(r["positive"], np.frombuffer(r["features"], np.int32)) for r in rows.toLocalIterator()]
-    got = [(p, np.frombuffer(f, np.int32)) for p, f in sorted({(p, f.tobytes()) for p, f in got})]  # copies count once
+    got = sorted({(p, f.tobytes()) for p, f in got}, key=lambda x: (x[0], zlib.crc32(x[1]), x[1]))  # copies count once; folds cut this order
+    got = [(p, np.frombuffer(f, np.int32)) for p, f in got]
     pos, unl = [f for p, f in got if p], [f for p, f in got if not p]
     if not pos or not unl:
         return Model({}, -6.0, prior)
-    in_pos, in_unl = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (pos, unl))
-    gain = _surplus(in_pos, len(pos), in_unl, len(unl))
-    best = np.argsort(-gain, kind="stable")[:most_features]
-    best = np.sort(best[gain[best] >= SURE])
-    place = np.full(BUCKETS, -1)
-    place[best] = np.arange(len(best))
-
-    def dense(sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), len(best)), np.float32)
-        for i, s in enumerate(sets):
-            p = place[s]
-            x[i, p[p >= 0]] = 1
-        return x
-
-    x_pos, x_unl = dense(pos), dense(unl)
-    w, b = fit_nnpu(x_pos, x_unl, prior)
-    b += centre(x_pos @ w + b, x_unl @ w + b, prior, threshold)
-    return Model({int(f): float(x) for f, x in zip(best, w, strict=True) if x}, b, prior)
+    features_of, w, b = _fit(pos, unl, prior, most_features)
+    cut = _cut_by_folds(pos, unl, prior, most_features, folds)
+    if cut is not None:
+        b += float(np.log(threshold / (1 - threshold))) - cut
+    return Model({int(f): float(x) for f, x in zip(features_of, w, strict=True) if x}, b, prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
