@@ -1,9 +1,9 @@
 """Exact token ids and counts by the tokenizers library, with units of text remembered.
 
 Neither tokenizer joins text across a lone space or line end, so a text's tokens are those of its units one after the
-other. Units are kept in a bounded table in each worker. Plain words go to the library's model directly, past its
-normaliser and pre-tokeniser, which leave them as they are but for case and the byte alphabet; all else goes through
-the whole library, and so do texts that hold unusual white space.
+other. Units are kept in a table of bounded bytes in each worker. Plain words, and the run of signs that may follow one,
+go to the library's model directly, past its normaliser and pre-tokeniser, which leave them as they are but for case and
+the byte alphabet; all else goes through the whole library, and so do texts that hold unusual white space.
 """
 
 from __future__ import annotations
@@ -11,20 +11,24 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"( ?)([{_LETTERS}]+)([.,;:!?]?)")
+#: Letters and a run of signs; no apostrophe (contractions are pieces) and no < (special tokens begin with it).
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?*%$#&@|/+=~^_)\\]}}\"-]*)")
+#: Units that are kept have no more letters.
+_LONGEST = 48
 
 
 def file_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
-@lru_cache(4)
+@lru_cache(1)
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -44,6 +48,11 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
 
 
+def _shown(piece: str) -> str:
+    """A piece without control characters in the letters that the model has for its bytes."""
+    return piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(_ALPHABET)
+
+
 _ODD = np.zeros(256, bool)
 _ODD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
@@ -65,9 +74,12 @@ def unusual_space(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Units(dict):
-    """What is known of units of text, in two generations: when one is full, the one before it is forgotten."""
+    """What is known of units of text, in two generations: when one is full, the one before it is forgotten.
 
-    def __init__(self, make, most: int):
+    An entry takes about 160 bytes, so most entries in two generations are some 40 MB.
+    """
+
+    def __init__(self, make, most: int = 130_000):
         super().__init__()
         self.make, self.most, self.before = make, most, {}
 
@@ -75,6 +87,8 @@ class _Units(dict):
         out = self.before.get(unit)
         if out is None:
             out = self.make(unit)
+        if len(unit) > _LONGEST:
+            return out
         if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
@@ -85,21 +99,26 @@ class _Units(dict):
 class WordTokens:
     """Ids of a tokenizer that lower-cases, drops white space and splits letters, digits and signs."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str):
         self.lib = load(path)
-        self.kind = "<u2" if self.lib.get_vocab_size() < 1 << 16 else "<u4"
-        self.cores = _Units(self._core, most)
-        self.units = _Units(self._unit, most)
+        self.code, self.kind = ("H", "=u2") if self.lib.get_vocab_size() < 1 << 16 else ("I", "=u4")
+        self.tokenize = self.lib.model.tokenize
+        self.signs = _Units(self._piece, 5000)
+        self.units = _Units(self._unit)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
-    def _core(self, piece: str) -> bytes:
-        return self._pack([t.id for t in self.lib.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))])
+    def _piece(self, piece: str) -> bytes:
+        return self._pack([t.id for t in self.tokenize(_shown(piece))])
 
     def _unit(self, unit: str) -> bytes:
-        if (m := _PLAIN.fullmatch(unit)) and not m[1]:
-            return self.cores[m[2].lower()] + (self.cores[m[3]] if m[3] else b"")
+        if m := _PLAIN.fullmatch(unit):
+            word, signs = m.groups()
+            low = word.lower()
+            if signs:
+                return self.units[low] + self.signs[signs]
+            return self._piece(unit) if low == unit else self.units[low]
         return self._pack(self.lib.encode(unit, add_special_tokens=False).ids)
 
     def ids(self, text: str, odd: bool) -> bytes:
@@ -115,16 +134,17 @@ _TIGHT = re.compile(r"(?:^|\s) | (?:\s|$)")
 class ByteTokens:
     """Numbers of ids of a byte-level tokenizer whose pieces may begin with one space."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str):
         self.lib = load(path)
-        self.cores = _Units(lambda piece: len(self.lib.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))), most)
-        self.units = _Units(self._unit, most)
-        self.inner = _Units(lambda unit: self._unit(" " + unit), most)
+        self.tokenize = self.lib.model.tokenize
+        self.signs = _Units(lambda signs: len(self.tokenize(_shown(signs))), 5000)
+        self.inner = _Units(self._after_space)
 
-    def _unit(self, unit: str) -> int:
+    def _after_space(self, unit: str) -> int:
         if m := _PLAIN.fullmatch(unit):
-            return self.cores[m[1] + m[2]] + (self.cores[m[3]] if m[3] else 0)
-        return len(self.lib.encode(unit, add_special_tokens=False))
+            word, signs = m.groups()
+            return self.inner[word] + self.signs[signs] if signs else len(self.tokenize(_shown(" " + word)))
+        return len(self.lib.encode(" " + unit, add_special_tokens=False))
 
     def count(self, text: str, odd: bool) -> int:
         if odd or _TIGHT.search(text):
@@ -132,14 +152,14 @@ class ByteTokens:
         if not text:
             return 0
         first, *rest = text.split(" ")
-        return self._unit(first) + sum(map(self.inner.__getitem__, rest))
+        return len(self.lib.encode(first, add_special_tokens=False)) + sum(map(self.inner.__getitem__, rest))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def byte_tokens(path: str) -> ByteTokens:
     return ByteTokens(path)
