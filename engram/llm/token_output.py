@@ -1,9 +1,10 @@
-"""Operator 9: token ids in segments, with document boundaries in Elias-Fano form.
+"""Operator 9: token ids in segments, with document boundaries and document ids in Elias-Fano form.
 
-A segment: 8 bytes "EGSEG001"; then int64: documents n, ids u, low bits l, id size in bytes, bytes of each part; then the
-parts: document ids (int64) and a bit for each that is null; the low l bits of each document's end, packed; the high
-parts in unary, where bit high(i) + i is set; the position of every 64th set bit; the ids, little-endian. Ends ascend,
-so n documents over u ids take about n * (2 + log2(u / n)) bits, and select reads one end without the others.
+A segment: 8 bytes "EGSEG002"; then int64: documents n, of these without an id, the least id, id size in bytes, bytes of
+each part; then the parts: ids of documents as Elias-Fano of what is added to the least, their ends as Elias-Fano, the
+token ids, little-endian. An Elias-Fano part: int64 n, low bits l, bytes of lower and upper; the low l bits of each
+value, packed; the high parts in unary, where bit high(i) + i is set; as 32-bit numbers the position of every 64th set
+bit. Values ascend, so n of them up to u take about n * (2 + log2(u / n)) bits, and select reads one without the others.
 Segments are rows of a table, so Spark commits them and any store that Spark writes will do.
 """
 
@@ -21,65 +22,87 @@ from pyspark.sql import functions as F
 from engram.llm.common import documents, ship, small_batches, table, text_bytes, total_bytes
 from engram.llm.tokens import unusual_space, word_tokens
 
-MAGIC = b"EGSEG001"
+MAGIC = b"EGSEG002"
 SEGMENT_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 _STEP = 64
+#: By how much ids of documents differ in a segment at most.
+MOST_APART = 1 << 62
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, payload binary"
 
 
+class EliasFano:
+    """Ascending numbers from 0 on; get(i) takes a few steps, whatever their number."""
+
+    def __init__(self, data: bytes):
+        self.n, self.low, lower, upper = map(int, np.frombuffer(data, "<i8", 4))
+        self.lower = data[32 : 32 + lower]
+        self.upper = data[32 + lower : 32 + lower + upper]
+        self.marks = np.frombuffer(data, "<u4", -(-self.n // _STEP), 32 + lower + upper)
+
+    @staticmethod
+    def encode(values: np.ndarray) -> bytes:
+        n, u = len(values), int(values[-1]) if len(values) else 0
+        low = max(0, (u // n).bit_length() - 1) if n else 0
+        bits = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel()
+        upper = np.zeros(n + (u >> low) + 1, np.uint8)
+        at = (values >> low) + np.arange(n)
+        upper[at] = 1
+        lower, high = (np.packbits(x, bitorder="little").tobytes() for x in (bits, upper))
+        return b"".join([np.array([n, low, len(lower), len(high)], "<i8").tobytes(), lower, high, at[::_STEP].astype("<u4").tobytes()])
+
+    def _select(self, i: int) -> int:
+        """The position of the i-th set bit: from the mark before it on, word by word, then bit by bit."""
+        at, rest = int(self.marks[i // _STEP]), i % _STEP
+        byte = at // 8
+        word = int.from_bytes(self.upper[byte : byte + 8], "little") >> at % 8 << at % 8
+        while (count := word.bit_count()) <= rest:
+            rest -= count
+            byte += 8
+            word = int.from_bytes(self.upper[byte : byte + 8], "little")
+        for _ in range(rest):
+            word &= word - 1
+        return byte * 8 + (word & -word).bit_length() - 1
+
+    def get(self, i: int) -> int:
+        first = i * self.low
+        bits = int.from_bytes(self.lower[first // 8 : (first + self.low + 7) // 8], "little") >> first % 8
+        return ((self._select(i) - i) << self.low) | bits & ((1 << self.low) - 1)
+
+
 def encode_segment(doc_ids: list[int | None], ids: list[bytes], kind: str) -> bytes:
-    """Packs documents, each with its packed ids, into a segment."""
+    """Packs documents, each with its packed ids, into a segment. doc_ids ascend, null ones first."""
     width = np.dtype(kind).itemsize
     ends = np.cumsum([len(x) // width for x in ids], dtype=np.int64)
-    n, u = len(ids), int(ends[-1]) if len(ids) else 0
-    low = max(0, (u // n).bit_length() - 1) if n else 0
-    bits = ((ends[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel() if low and n else np.zeros(0, np.uint8)
-    upper = np.zeros(n + (u >> low) + 1, np.uint8)
-    at = (ends >> low) + np.arange(n)
-    upper[at] = 1
-    nulls = np.array([x is None for x in doc_ids], np.uint8)
-    parts = [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.packbits(nulls).tobytes(), np.packbits(bits, bitorder="little").tobytes(), np.packbits(upper, bitorder="little").tobytes(), at[::_STEP].astype("<i8").tobytes(), b"".join(ids)]
-    head = np.array([n, u, low, width, *map(len, parts)], "<i8").tobytes()
+    named = [x for x in doc_ids if x is not None]
+    least = named[0] if named else 0
+    wide = named[-1] - least if named else 0
+    if wide > MOST_APART:
+        raise ValueError("ids of one segment are too far apart")
+    parts = [EliasFano.encode(np.array([x - least for x in named], np.int64)), EliasFano.encode(ends), b"".join(ids)]
+    head = np.array([len(ids), len(ids) - len(named), least, width, *map(len, parts)], "<i8").tobytes()
     return b"".join([MAGIC, head, *parts])
 
 
 class Segment:
-    """Reads a segment; end(i) takes a few steps, whatever the number of documents."""
+    """Reads a segment."""
 
     def __init__(self, payload: bytes):
         if payload[:8] != MAGIC:
             raise ValueError("not a segment")
-        head = np.frombuffer(payload, "<i8", 10, 8)
-        self.n, self.u, self.low, width = map(int, head[:4])
-        cut = 88 + np.concatenate(([0], np.cumsum(head[4:])))
+        head = np.frombuffer(payload, "<i8", 7, 8)
+        self.n, self.nulls, self.least, width = map(int, head[:4])
+        cut = 64 + np.concatenate(([0], np.cumsum(head[4:])))
         part = [payload[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        null = np.unpackbits(np.frombuffer(part[1], np.uint8))[: self.n]
-        self.doc_ids = [None if z else x for x, z in zip(np.frombuffer(part[0], "<i8").tolist(), null.tolist(), strict=True)]
-        self.lower = np.unpackbits(np.frombuffer(part[2], np.uint8), bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        self.upper = np.frombuffer(part[3], np.uint8)
-        self.marks = np.frombuffer(part[4], "<i8")
-        self.ids = np.frombuffer(part[5], f"<u{width}")
+        self.named, self.bounds = EliasFano(part[0]), EliasFano(part[1])
+        self.ids = np.frombuffer(part[2], f"<u{width}")
 
-    def _select(self, i: int) -> int:
-        at = int(self.marks[i // _STEP])
-        rest = i % _STEP
-        byte, skip = at // 8, at % 8
-        while True:
-            bits = np.unpackbits(self.upper[byte : byte + 32], bitorder="little")
-            bits[:skip] = 0
-            found = np.flatnonzero(bits)
-            if len(found) > rest:
-                return byte * 8 + int(found[rest])
-            rest, byte, skip = rest - len(found), byte + 32, 0
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.least + self.named.get(i - self.nulls)
 
     def end(self, i: int) -> int:
         """Ids of documents 0 to i together."""
-        return ((self._select(i) - i) << self.low) | int(self.lower[i] @ (1 << np.arange(self.low))) if i >= 0 else 0
-
-    def ends(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n] - np.arange(self.n)
-        return (high << self.low) | self.lower.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+        return self.bounds.get(i) if i >= 0 else 0
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.end(i - 1) : self.end(i)]
@@ -104,7 +127,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 1, segment_byt
         close = np.array([end_id], coder.kind).tobytes()
         keys: list[int | None] = []
         ids: list[bytes] = []
-        size = 0
+        size, least = 0, None
 
         def segment() -> pa.RecordBatch:
             width = len(close)
@@ -113,12 +136,16 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 1, segment_byt
         for b in small_batches(batches, "text"):
             odd = unusual_space(*text_bytes(b.column(1))).tolist()
             for key, text, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), odd, strict=True):
+                if key is not None and least is not None and key - least > MOST_APART:
+                    yield segment()
+                    keys, ids, size, seq, least = [], [], 0, seq + 1, None
                 keys.append(key)
+                least = key if least is None else least
                 ids.append(coder.ids(text, o) + close)
                 size += len(ids[-1])
                 if size >= segment_bytes:
                     yield segment()
-                    keys, ids, size, seq = [], [], 0, seq + 1
+                    keys, ids, size, seq, least = [], [], 0, seq + 1, None
         if keys:
             yield segment()
 
@@ -134,11 +161,11 @@ def read_segments(segments: DataFrame) -> DataFrame:
         for b in batches:
             for part, seq, payload in zip(*(b.column(i) for i in range(3)), strict=True):
                 s = Segment(payload.as_py())
-                ends = s.ends()
+                ends = np.array([s.end(i) for i in range(s.n)], np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
                 wide = s.ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:z].tobytes()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * s.n, pa.int32()), pa.array([seq.as_py()] * s.n, pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * s.n, pa.int32()), pa.array([seq.as_py()] * s.n, pa.int32()), pa.array([s.doc_id(i) for i in range(s.n)], pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], schema=fields)
 
     within = segments.select("part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("before_seq"))
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # as many rows as partitions were written
