@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, table
+from engram.llm.common import documents, drop_table, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 MOST_COPIES = 3
@@ -47,16 +47,18 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...]
 def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int = MOST_COPIES, marked: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (size * copies) for each row of docs (doc_id, source, text).
 
-    Every source is a queue of its documents in an order shuffled by hash, most times over. A copy's finish time is the
+    size: another column than the number of words in text. Every source is a queue of its documents in an order shuffled by hash, most times over. A copy's finish time is the
     queue's size up to its end over the source's target; copies are taken in ascending finish time, source and place
     until the budget, the sum of all sizes, is spent. Running sums come from sums of hash slices, so no task holds a
-    whole source; the cut is found by two histograms of fixed size and an exact running sum in one cell of the second.
+    whole source. In place of a global sort that is cut off at the budget, which moves every row, the place of the cut
+    is found: by two histograms of _FINE cells, one inside a cell of the other, and an exact running sum in one cell of
+    the second, a millionth of the finish times.
     Documents without words have no share (copies 0), nor does anything if all are so; equal rows are taken alike.
     """
     text = size if size is not None else word_count()
     mark = [F.lit(None).cast("long").alias(c) for c in MARK] if not marked else [F.col(c) for c in MARK]
-    base = docs.select("doc_id", "source", text.alias("size"), *mark).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
-    base = table(base, "mix_sizes")
+    base = docs.select("doc_id", "source", text.alias("size"), *mark, F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("key"))
+    base = sizes = table(base, "mix_sizes")
     n = max(base.count(), 1)
     bits = min(max((n // 4096).bit_length(), 4), 20)
     base = base.withColumn("slice", F.shiftrightunsigned("key", 64 - bits))
@@ -64,11 +66,12 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int =
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     slices = slices.select("source", "slice", (F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")).alias("before"))
     slices = slices.join(t, slices["source"].eqNullSafe(t["source"])).drop(t["source"])
-    inner = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *MARK).rowsBetween(Window.unboundedPreceding, 0)
     rows = base.withColumn("upto", F.sum("size").over(inner))
     rows = rows.alias("r").join(slices.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.slice") == F.col("s.slice")))
     upto = F.col("before") + F.col("upto")
     rows = table(rows.select("r.doc_id", "r.source", "size", *MARK, "key", "rank", "source_size", "target", upto.alias("upto")), "mix_queues")
+    drop_table(sizes)
 
     def finish(e) -> Column:
         return (F.col("upto") + e * F.col("source_size")) / F.col("target")
@@ -85,7 +88,7 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 42, most: int =
         if cell is None:
             break
         low, width, spent = low + cell["cell"] * width / _FINE, width / _FINE, spent + cell["upto"] - cell["n"]
-    order = ["finish", "rank", "e", "key", "doc_id"]
+    order = ["finish", "rank", "e", "key", "doc_id"]  # equal in all of these: equal rows, taken alike
     if cell is None:
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.lit(most)).otherwise(0)
     else:
@@ -113,13 +116,12 @@ def mix_documents(docs: DataFrame, seed: int = 42, most: int = MOST_COPIES) -> D
     A row is found again by two hashes of all its columns; rows that are equal in all of them are dealt their copies
     one by one.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.withColumns({c: F.xxhash64(F.lit(i), *cols) for i, c in enumerate(MARK)})
-    copies = mix(own, None, seed, most, marked=True).groupBy(*MARK).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(row.alias("row"), "doc_id", "source", "text", *[F.xxhash64(F.lit(i), row).alias(c) for i, c in enumerate(MARK)])
+    copies = mix(own, None, seed, most, marked=True).groupBy(*MARK).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
     place = F.row_number().over(Window.partitionBy(*MARK).orderBy(F.lit(0)))
-    rows = own.join(copies, MARK).withColumn("_place", place)
-    times = F.element_at("_copies", F.col("_place"))
-    return rows.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    rows = own.select("row", *MARK).join(copies, MARK).withColumn("place", place)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.element_at("copies", F.col("place"))))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
