@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, table
+from engram.llm.common import documents, scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that Java's engine takes linear time on any text: a run is entered at its start
@@ -23,25 +23,27 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CANDIDATE = f"(?<![0-9])[0-9(][0-9().\\x20-]{{4,24}}[0-9](?![0-9])|(?:(?<![{_LOCAL}])|\\G)[{_LOCAL}]++@[A-Za-z0-9-]++"
 #: Shape that a discovered identifier of a kind must have, over its text without separators.
 _SHAPE = {"email": "^.+@.+$", "ip": "^[0-9]+(?:\\.[0-9]+){2,5}$", "card": "^[0-9]{12,19}$", "phone": "^[0-9]{6,15}$"}
-ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE = 3, 3, 0.8
+LEAST_SUPPORT, LEAST_CONFIDENCE = 3, 0.8
+#: Characters on either side of a string that its contexts are taken from.
+_NEAR = 96
 
 
 def found(text: Column, pattern: str, needs: str | None) -> Column:
-    """Matches of a pattern as array<struct<start, stop, match, before>>; start and stop in code points.
+    """Matches of a pattern as array<struct<start, stop, match, before, after>>; start and stop in code points.
 
     The pieces between matches and the matches themselves, laid end to end, are the text; so their lengths give the
-    places. before: the end of the piece that comes before the match.
+    places. before: the end of the piece that comes before the match; after: the beginning of the one behind it.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, stop: int, match: string, before: string>>)").alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, stop: int, match: string, before: string, after: string>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gaps"])
         stop = start + F.length(x["matches"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["matches"].alias("match"), F.right(x["gaps"], F.lit(48)).alias("before"))
+        one = F.struct(start.alias("start"), stop.alias("stop"), x["matches"].alias("match"), F.right(x["gaps"], F.lit(_NEAR)).alias("before"), F.left(x["next"], F.lit(_NEAR)).alias("after"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gaps"), matches.alias("matches"))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gaps"), matches.alias("matches"), F.slice(gaps, 2, F.size(matches)).alias("next"))
     folded = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
     some = text.rlike(pattern) if needs is None else text.contains(needs)
     return F.when(some, folded).otherwise(empty["out"])
@@ -78,14 +80,18 @@ def _stands(kind: str):
     return lambda x: valid(kind, x["match"])
 
 
-def _context(before: Column) -> Column:
-    """The lexical pattern on the left: the last two words, without case and signs; null where there are fewer."""
-    words = F.filter(F.split(F.lower(before), "[^\\p{L}]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.xxhash64(F.array_join(F.slice(words, -2, 2), " ")))
+def _contexts(before: Column, after: Column) -> Column:
+    """The lexical patterns of a place: hashes of the last two words and the last one on the left, the first one and two on the right.
+
+    Words are runs of letters, without case; a pattern with fewer words than it asks for is left out.
+    """
+    left, right = (F.filter(F.split(F.lower(x), "[^\\p{L}]+"), lambda w: w != "") for x in (before, after))
+    forms = [F.when(F.size(w) >= n, F.xxhash64(F.lit(i), F.array_join(F.slice(w, at, n), " "))) for i, (w, at, n) in enumerate(((left, -2, 2), (left, -1, 1), (right, 1, 1), (right, 1, 2)))]
+    return F.array_compact(F.array(*forms))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), base (spans by kind), seen (kind or null, start, stop, context, instance) of each row."""
+    """doc_id, h (of the text), base (spans by kind), seen (kind or null, start, stop, contexts, instance) of each row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("t"))
     h = F.xxhash64("t")
@@ -99,7 +105,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def view(kind: int | None):
         def of(x: Column) -> Column:
             plain = F.lower(F.regexp_replace(x["match"], "[\\x20()-]", ""))
-            return F.struct(F.lit(kind).cast("int").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), _context(x["before"]).alias("context"), F.xxhash64(plain).alias("instance"), _shapes(plain).alias("shapes"))
+            return F.struct(F.lit(kind).cast("int").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), _contexts(x["before"], x["after"]).alias("contexts"), F.xxhash64(plain).alias("instance"), _shapes(plain).alias("shapes"))
 
         return of
 
@@ -116,17 +122,18 @@ def _shapes(plain: Column) -> Column:
     return sum((F.when(plain.rlike(_SHAPE[k]), F.lit(1 << i)).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
 
 
-def bootstrap(edges: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+def bootstrap(edges: DataFrame, support: int, confidence: float) -> DataFrame:
     """instance, kind of identifiers that no fixed pattern names.
 
     edges: context, instance, kind (of a seed; else null), shapes; one row for each context and instance. In each round
     a context's confidence in a kind is the share of its instances that are known to be of it, and it is trusted with
     at least so much support and confidence; an unknown instance's is 1 - product of (1 - confidence) over its trusted
-    contexts, and it becomes known above the bound. Rounds stop when nothing new is found.
+    contexts, and it becomes known from the bound on. Rounds end when one finds nothing new, as one must: each makes
+    some instances known.
     """
-    known = None
-    for _ in range(rounds):
-        now = edges if known is None else edges.join(known.withColumnRenamed("kind", "new"), "instance", "left").withColumn("kind", F.coalesce("kind", "new")).drop("new")
+    known = edges.select("instance", "kind").limit(0)
+    while True:
+        now = edges.join(known.withColumnRenamed("kind", "new"), "instance", "left").withColumn("kind", F.coalesce("kind", "new")).drop("new")
         counts = [F.sum(F.when(F.col("kind") == i, 1).otherwise(0)).alias(f"k{i}") for i in range(len(KINDS))]
         per = now.groupBy("context").agg(F.count(F.lit(1)).alias("n"), *counts)
         best = F.greatest(*[F.struct(F.col(f"k{i}").alias("c"), F.lit(i).alias("kind")) for i in range(len(KINDS))])
@@ -135,25 +142,28 @@ def bootstrap(edges: DataFrame, rounds: int, support: int, confidence: float) ->
         scored = votes.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("s")).groupBy("instance").agg(F.max(F.struct("s", F.col("k").alias("kind"))).alias("b"))
         fresh = table(scored.where(F.col("b.s") >= confidence).select("instance", F.col("b.kind").alias("kind")), "pii_known")
         if fresh.isEmpty():
-            break
-        known = fresh if known is None else table(known.union(fresh), "pii_known")
-    return known if known is not None else edges.select("instance", F.col("kind")).limit(0)
+            return known
+        known = fresh if not hasattr(known, "written_at") else table(known.union(fresh), "pii_known")
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, support: int = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+def find(docs: DataFrame, support: int = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """doc_id, base, spans: array<struct<kind: int, start: int, stop: int>> for each row of docs (doc_id, text).
 
     base: matches of the fixed patterns, leftmost and not overlapping within a kind, without those that fail the kind's
-    check. They are seeds: the two words on the left of each are a context, and contexts that mostly stand before one
+    check. They are seeds: the words on either side of each are its contexts, and contexts that mostly stand beside one
     kind name further strings of that kind's shape, which name further contexts. spans: base and what is discovered;
     discovered spans never overlap base ones. kind is a place in KINDS; places are in code points, stop exclusive.
-    Null and empty texts have no spans; equal rows have equal results; without seeds nothing is discovered.
+    Contexts see so many characters (_NEAR) on a side, up to the next match of the same pattern. Null and empty texts
+    have no spans; equal rows have equal results; without seeds nothing is discovered.
     """
-    seen = table(scan(docs), "pii_scan")
-    occ = seen.select("doc_id", "h", F.explode("seen").alias("x")).select("doc_id", "h", "x.*")
-    edges = table(occ.where("context is not null").groupBy("context", "instance").agg(F.min("kind").alias("kind"), F.max("shapes").alias("shapes")), "pii_edges")
-    known = bootstrap(edges, rounds, support, confidence)
-    hits = occ.where("kind is null").drop("kind").join(known, "instance").groupBy("doc_id", "h").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("more"))
+    with scratch(docs.sparkSession) as keep:
+        seen = keep(table(scan(docs), "pii_scan"))
+        occ = seen.select("doc_id", "h", F.explode("seen").alias("x")).select("doc_id", "h", "x.*")
+        edges = occ.select(F.explode("contexts").alias("context"), "instance", "kind", "shapes")
+        edges = table(edges.groupBy("context", "instance").agg(F.min("kind").alias("kind"), F.max("shapes").alias("shapes")), "pii_edges")
+        known = bootstrap(edges, support, confidence)
+        hits = occ.where("kind is null").drop("kind").join(known, "instance").groupBy("doc_id", "h").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("more"))
+        hits = keep(table(hits, "pii_found"))
     rows = seen.select("doc_id", "h", "base").alias("a").join(hits.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left")
     none = F.expr("cast(array() as array<struct<kind: int, start: int, stop: int>>)")
     return rows.select("a.doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
