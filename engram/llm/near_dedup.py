@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches, table, text_bytes, tidy
+from engram.llm.common import documents, free_name, scratch, ship, small_batches, table, text_bytes, tidy
 from engram.llm.components import components
 from engram.llm.words import U, Words, grams, mix
 
@@ -193,43 +193,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
     """
     spark = docs.sparkSession
     ship(spark)
-    sigs = table(signatures(docs, shingle, permutations, rows), "signatures")
-    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "sketch", "parity")).alias("r")
-    reps = table(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(first).select("digest", "r.*"), "classes")
-    dealt = reps.select("id", F.explode("keys").alias("key"))
-    hubs = dealt.groupBy("key").agg(F.min("id").alias("p0"), F.max("id").alias("last")).where("p0 <> last")
-    held = table(dealt.join(hubs.select("key", "p0"), "key"), "buckets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-        few = ids.count() <= MOST_BROADCAST
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        return _confirm(pairs, table(texts, "candidate_texts"), shingle, percent)
-
-    tried = table(held.where("id <> p0").select(F.least("id", "p0").alias("a"), F.greatest("id", "p0").alias("b")).distinct(), "tried")
-    links = table(confirmed(table(_among(tried, reps, percent, permutations), "likely")), "links")
-    for turn in range(1, pivots + 2):
-        comp = table(components(links), "components")
-        now = held.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        split = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key", F.when(F.xxhash64(F.lit(turn), "c0") < F.xxhash64(F.lit(turn), "c1"), F.col("c0")).otherwise(F.col("c1")).alias("c"))
-        rest = table(now.join(split, "key"), "split")
-        per = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n"))
-        left = per.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            break
-        last = turn > pivots or left["pairs"] <= 8 * left["n"]
-        if not last:  # one component of the bucket, its member least by hash, against all others
-            hub = rest.where("component = c").groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
-            more = rest.where("component <> c").join(hub, "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-            more = table(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-            tried = tried.union(more)
-            likely = table(_among(more, reps, percent, permutations), "likely")
-        else:
-            likely = table(_between(rest.select("key", "id", "component"), reps, percent, permutations).distinct().join(tried, ["a", "b"], "left_anti"), "likely")
-        links = table(links.union(confirmed(likely)), "links")
-        if last:
+    with scratch(spark) as keep:
+        sigs = keep(table(signatures(docs, shingle, permutations, rows), "signatures"))
+        first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "sketch", "parity")).alias("r")
+        reps = keep(table(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(first).select("digest", "r.*"), "classes"))
+        dealt = reps.select("id", F.explode("keys").alias("key"))
+        hubs = dealt.groupBy("key").agg(F.min("id").alias("p0"), F.max("id").alias("last")).where("p0 <> last")
+        held = table(dealt.join(hubs.select("key", "p0"), "key"), "buckets")
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+            few = ids.count() <= MOST_BROADCAST
+            texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+            return _confirm(pairs, table(texts, "candidate_texts"), shingle, percent)
+
+        tried = table(held.where("id <> p0").select(F.least("id", "p0").alias("a"), F.greatest("id", "p0").alias("b")).distinct(), "tried")
+        links = table(confirmed(table(_among(tried, reps, percent, permutations), "likely")), "links")
+        for turn in range(1, pivots + 2):
             comp = table(components(links), "components")
-            break
+            now = held.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            split = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key", F.when(F.xxhash64(F.lit(turn), "c0") < F.xxhash64(F.lit(turn), "c1"), F.col("c0")).otherwise(F.col("c1")).alias("c"))
+            rest = table(now.join(split, "key"), "split")
+            per = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n"))
+            left = per.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+            if not left["n"]:
+                break
+            last = turn > pivots or left["pairs"] <= 8 * left["n"]
+            if not last:  # one component of the bucket, its member least by hash, against all others
+                hub = rest.where("component = c").groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
+                more = rest.where("component <> c").join(hub, "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+                more = table(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+                tried = tried.union(more)
+                likely = table(_among(more, reps, percent, permutations), "likely")
+            else:
+                likely = table(_between(rest.select("key", "id", "component"), reps, percent, permutations).distinct().join(tried, ["a", "b"], "left_anti"), "likely")
+            links = table(links.union(confirmed(likely)), "links")
+            if last:
+                comp = table(components(links), "components")
+                break
+        keep(comp)
     named = reps.join(comp, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = sigs.join(named, (sigs["digest"] == named["digest"]) & (sigs["n_shingles"] > 0) & sigs["doc_id"].isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
@@ -244,8 +246,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     named = docs.where("doc_id is not null")
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+        gone = free_name(docs, "_gone")
+        out = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+        return docs.join(out, F.col("doc_id") == F.col(gone), "left_anti")
     one = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_one")
     digest = F.coalesce(F.sha2("text", 256), F.lit("")).alias("_digest")
     rows = named.groupBy("doc_id", digest).agg(one).orderBy("doc_id", "_digest")
