@@ -1,57 +1,155 @@
-"""Vector search, keyword search, fusion and reranking. Rankings tie on the id, after rounding to 6 places."""
+"""Vector search, keyword search, fusion and reranking.
+
+Scores come unrounded. Rankings compare them to 12 places, so that the noise of sums in another order doesn't decide,
+and tie on the id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram import store
 from engram.functions.text import tokenize
 from engram.functions.vectors import cosine
 
-PLACES = 6
+#: Places to which rankings compare.
+PLACES = 12
 K1, B, DELTA = 1.5, 0.75, 0.5
+#: Bytes of query vectors that are broadcast at a time; more take more scans.
+QUERY_BYTES = 32 << 20
+
 
+def first(score: str) -> Column:
+    """The order of a ranking: greatest score first."""
+    return F.round(score, PLACES).desc()
 
-def knn(vectors: DataFrame, query: list[float], k: int = 10, least: float | None = None, where: Column | None = None, prefilter: bool = True, id: str = "chunk_id") -> DataFrame:
-    """id, similarity of the k nearest by cosine, best first.
+
+def knn(vectors: DataFrame, query: list[float], k: int = 10, least: float | None = None, where: Column | None = None, prefilter: bool = True, id: str = "chunk_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """id, similarity and the columns in more of the k nearest by cosine, best first.
 
     where, least: only rows that fit, and of at least that similarity; before the k are taken, or after
     (prefilter=False: fewer than k may come back). The query is a literal, so there is no join; each task keeps k rows.
     """
     keep = F.lit(True) if where is None else where
-    s = vectors.withColumn("similarity", F.round(cosine(F.col("embedding"), F.lit(query).cast("array<double>")), PLACES)).withColumn("_keep", keep & (F.lit(True) if least is None else F.col("similarity") >= least))
+    s = vectors.withColumn("similarity", cosine(F.col("embedding"), F.lit(query).cast("array<double>")))
+    s = s.withColumn("_keep", keep & (F.lit(True) if least is None else F.col("similarity") >= least))
     if prefilter:
         s = s.where("_keep")
-    s = s.where("similarity is not null").orderBy(F.desc("similarity"), id).limit(k)
-    return s.where("_keep").select(id, "similarity")
+    s = s.where("similarity is not null").orderBy(first("similarity"), id).limit(k)
+    return s.where("_keep").select(id, "similarity", *more)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "chunk_id") -> DataFrame:
-    """query_id, id, similarity, rank: the k nearest others of each query (query_id, query), a set of stated size.
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of a batch as unit rows; rows of another dimension, with nulls or of no length are zero."""
+    out = np.zeros((len(column), dim))
+    if not column.null_count and not column.values.null_count and (np.diff(column.offsets.to_numpy()) == dim).all():
+        out[:] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    else:
+        for i, v in enumerate(column.to_pylist()):
+            if v is not None and len(v) == dim and None not in v:
+                out[i] = v
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+    out /= np.where(norm > 0, norm, 1)[:, None]
+    return out
 
-    Rows of vectors meet the broadcast queries where they lie; each task keeps its k best of a query before the shuffle,
-    so a query's rows on the way are k a task at most.
-    """
-    q = F.broadcast(queries.select("query_id", F.col("query").cast("array<double>").alias("query")))
-    pairs = vectors.select(id, "embedding").join(q, F.col(id) != F.col("query_id")).select("query_id", id, F.round(cosine(F.col("embedding"), F.col("query")), PLACES).alias("similarity")).where("similarity is not null")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id)
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "chunk_id", most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest others of each query (query_id, query), a set of stated size.
 
-def indexed(docs: DataFrame, id: str = "doc_id") -> DataFrame:
-    """id, tokens, n_tokens of each text: the index, to be written once and searched often."""
-    t = tokenize(F.col("text"))
-    return docs.select(id, t.alias("tokens"), F.size(t).cast("long").alias("n_tokens"))
+    Queries are broadcast in lots of at most most_bytes, and vectors scanned once a lot. A batch of vectors meets a lot
+    in one product of matrices, and each task keeps its k best of a query, so what is shuffled is k rows a task and
+    query at most. Vectors of another dimension than the query's, and zero ones, have no similarity.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema[id].dataType.simpleString()
+    schema = f"query_id {kind}, {id} {kind}, similarity double"
+
+    def search(lot: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([q for q, _ in lot]), np.array([v for _, v in lot], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+            q = q / np.where(norm > 0, norm, 1)[:, None]
+            ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for b in batches:
+                x = _rows(b.column(1), q.shape[1])
+                ok = x.any(axis=1)
+                own, x = b.column(0).to_numpy()[ok], x[ok]
+                for a in range(0, len(own), 4096):
+                    s = q @ x[a : a + 4096].T
+                    s[names[:, None] == own[a : a + 4096]] = -np.inf
+                    ids = np.concatenate([ids, np.broadcast_to(own[a : a + 4096], s.shape)], axis=1)
+                    best = np.concatenate([best, s], axis=1)
+                    order = np.lexsort((ids, -np.round(best, PLACES)), axis=1)[:, :k]
+                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+            r, c = np.nonzero(np.isfinite(best) & (norm > 0)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[r, c]), pa.array(best[r, c])], ["query_id", id, "similarity"])
+
+        return vectors.select(id, "embedding").mapInArrow(run, schema)
+
+    lots: list[list[tuple]] = [[]]
+    size = 0
+    for r in queries.where("query is not null").select("query_id", "query").toLocalIterator():
+        v = list(r["query"])
+        if lots[-1] and (size + 8 * len(v) > most_bytes or len(v) != len(lots[-1][0][1])):
+            lots.append([])
+            size = 0
+        lots[-1].append((r["query_id"], v))
+        size += 8 * len(v)
+    found = [search(lot) for lot in lots if lot] or [spark.createDataFrame([], schema)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    w = Window.partitionBy("query_id").orderBy(first("similarity"), id)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index. postings: term, id, tf, n_tokens of the text; stats: one row of n_docs, n_tokens, mean_tokens."""
+
+    postings: DataFrame
+    stats: DataFrame
+    id: str = "doc_id"
+
+
+def indexed(docs: DataFrame, id: str = "doc_id") -> Index:
+    """The index of texts (id, text), not written yet: each use computes it again. Null texts have no tokens."""
+    tokens = docs.select(id, tokenize(F.col("text")).alias("tokens"))
+    sized = tokens.select(id, "tokens", F.size("tokens").cast("long").alias("n_tokens"))
+    postings = sized.select(id, "n_tokens", F.explode("tokens").alias("term")).groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("mean_tokens"))
+    return Index(postings, stats, id)
+
+
+def build_index(docs: DataFrame, folder: str, id: str = "doc_id") -> Index:
+    """The index of texts, written to a folder in place of what was there: postings sorted by term, so that a search reads its terms.
+
+    Ranges are of term and id, so a term of many texts lies in several files.
+    """
+    made = indexed(docs, id)
+    made.postings.repartitionByRange("term", id).sortWithinPartitions("term", id).write.mode("overwrite").parquet(f"{folder}/postings")
+    made.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    return load_index(docs.sparkSession, folder, id)
 
 
-def postings(index: DataFrame, id: str = "doc_id") -> DataFrame:
-    """term, id, tf: the inverted form of an index."""
-    return index.select(id, F.explode("tokens").alias("term")).groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"))
+def load_index(spark: SparkSession, folder: str, id: str = "doc_id") -> Index | None:
+    """A written index; None where the folder holds no whole one."""
+    if not store.exists(spark, f"{folder}/stats/_SUCCESS"):
+        return None
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), id)
 
 
-def index_stats(index: DataFrame) -> DataFrame:
+def index_stats(index: Index) -> DataFrame:
     """n_docs, n_tokens, mean_tokens."""
-    return index.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.round(F.coalesce(F.avg("n_tokens"), F.lit(0.0)), PLACES).alias("mean_tokens"))
+    return index.stats
 
 
 def _idf(method: str, n: Column, df: Column) -> Column:
@@ -70,30 +168,24 @@ def _tf(method: str, tf: Column, d: Column) -> Column:
     return (K1 + 1) * tf / (K1 * d + tf) + DELTA
 
 
-def bm25(index: DataFrame, terms: list[str], k: int | None = 10, method: str = "lucene", id: str = "doc_id") -> DataFrame:
-    """id, score of texts that hold a term, best first; all of them where k is None.
+def bm25(index: Index, terms: list[str], k: int | None = 10, method: str = "lucene", among: DataFrame | None = None) -> DataFrame:
+    """id, score of texts that hold a term, best first; all of them where k is None. among: ids that may come; figures stay the index's.
 
-    Terms are counted inside each row; corpus figures are one row of sums, broadcast. So the corpus isn't exploded or
-    shuffled. Terms that a text lacks add nothing, in any method. No terms: no rows.
+    Only the terms' postings are read. How many texts a term has is counted there, one row a term, and meets them again
+    by broadcast. Terms that a text lacks add nothing, in any method. No terms: no rows.
     """
     terms = list(dict.fromkeys(terms))
-    spark = index.sparkSession
-    if not terms:
-        return spark.createDataFrame([], f"{id} long, score double")
-    tf = [F.size(F.filter("tokens", _is(t))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = index.select(id, "n_tokens", *tf)
-    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("n_tokens").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
-    d = (1 - B) + B * F.col("n_tokens") / F.col("mean")
-    score = sum((F.when(F.col(f"tf{i}") > 0, _idf(method, F.col("n"), F.col(f"df{i}")) * _tf(method, F.col(f"tf{i}"), d)).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
-    some = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0
-    out = rows.where(some).crossJoin(F.broadcast(stats)).select(id, F.round(score, PLACES).alias("score")).orderBy(F.desc("score"), id)
+    rows = index.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    n, mean = F.col("n_docs").cast("double"), F.col("mean_tokens")
+    d = (1 - B) + B * F.col("r.n_tokens") / mean
+    weight = _idf(method, n, F.col("df")) * _tf(method, F.col("tf").cast("double"), d)
+    live = rows if among is None else rows.join(among.select(index.id), index.id, "left_semi")
+    scored = live.alias("r").join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats.select("n_docs", "mean_tokens")))
+    out = scored.groupBy(index.id).agg(F.sum(weight).alias("score")).orderBy(first("score"), index.id)
     return out if k is None else out.limit(k)
 
 
-def _is(t: str):
-    return lambda x: x == t
-
-
 def _whole(by: list[str]):
     return Window.partitionBy(*(by or [F.lit(1)]))
 
@@ -119,7 +211,7 @@ def three_sigma(hits: DataFrame, score: str = "score", by: list[str] = [], bound
 
 def ranked(hits: DataFrame, id: str, score: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """hits with rank from 1. A result list is short: it comes from a limit."""
-    return hits.withColumn("rank", F.row_number().over(_whole(by).orderBy(F.desc(score), id)).cast("long"))
+    return hits.withColumn("rank", F.row_number().over(_whole(by).orderBy(first(score), id)).cast("long"))
 
 
 def _sides(v: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -131,12 +223,12 @@ def rrf(v: DataFrame, b: DataFrame, k: int = 60, alpha: float = 0.5) -> DataFram
     """id, score, v_rank, b_rank by reciprocal ranks. v, b: id, score."""
     s = _sides(ranked(v, "id", "score"), ranked(b, "id", "score"), "rank")
     part = lambda c, a: F.coalesce(a / (k + F.col(c)), F.lit(0.0))
-    return s.select("id", F.round(part("v", alpha) + part("b", 1 - alpha), PLACES).alias("score"), F.col("v").alias("v_rank"), F.col("b").alias("b_rank"))
+    return s.select("id", (part("v", alpha) + part("b", 1 - alpha)).alias("score"), F.col("v").alias("v_rank"), F.col("b").alias("b_rank"))
 
 
 def _weighed(v: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
     s = _sides(v, b, "normalized")
-    return s.select("id", F.round(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("b", F.lit(0.0)), PLACES).alias("score"))
+    return s.select("id", (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("b", F.lit(0.0))).alias("score"))
 
 
 def rsf(v: DataFrame, b: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -149,23 +241,34 @@ def dbsf(v: DataFrame, b: DataFrame, alpha: float = 0.5, v_bounds: tuple[float,
     return _weighed(three_sigma(v, bounds=v_bounds), three_sigma(b, bounds=b_bounds), alpha)
 
 
-FUSIONS = {"rrf": lambda v, b, alpha: rrf(v, b, alpha=alpha).select("id", "score"), "rsf": rsf, "dbsf": dbsf}
+#: A fusion takes two lists (id, score) and alpha, the first one's weight, and gives one; callers may add theirs.
+Fusion = Callable[[DataFrame, DataFrame, float], DataFrame]
+FUSIONS: dict[str, Fusion] = {"rrf": lambda v, b, alpha: rrf(v, b, alpha=alpha).select("id", "score"), "rsf": rsf, "dbsf": dbsf}
 
 
 def best(hits: DataFrame, limit: int) -> DataFrame:
     if limit <= 0:
         raise ValueError("limit must be above 0")
-    return hits.orderBy(F.desc("score"), "id").limit(limit)
+    return hits.orderBy(first("score"), "id").limit(limit)
 
 
-def hybrid(vectors: DataFrame, index: DataFrame, query: list[float], terms: list[str], limit: int = 10, alpha: float = 0.5, method: str = "rrf", depth: int | None = None, where: Column | None = None) -> DataFrame:
-    """id, score of both searches together. vectors: chunk_id, embedding; index: doc_id, tokens, n_tokens."""
+def hybrid(vectors: DataFrame, index: Index, query: list[float], terms: list[str], limit: int = 10, alpha: float = 0.5, method: str | Fusion = "rrf", depth: int | None = None, where: Column | None = None) -> DataFrame:
+    """id, score of both searches together. vectors: chunk_id, embedding. method: a name in FUSIONS or a fusion."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be from 0 to 1")
     n = depth or limit
     v = knn(vectors, query, n, where=where).select(F.col("chunk_id").alias("id"), F.col("similarity").alias("score"))
-    b = bm25(index, terms, n).select(F.col("doc_id").alias("id"), "score")
-    return best(FUSIONS[method](v, b, alpha), limit)
+    b = bm25(index, terms, n).select(F.col(index.id).alias("id"), "score")
+    return best((FUSIONS[method] if isinstance(method, str) else method)(v, b, alpha), limit)
+
+
+def match_by_text(hits: DataFrame, named: DataFrame) -> DataFrame:
+    """hits (text, score, index) with the id of the first row of named (id, text, rank) that has their text.
+
+    A text that no named row has gets the id bm25_<index>; null texts have none to match.
+    """
+    ids = named.where("text is not null").groupBy("text").agg(F.min_by(F.col("id").cast("string"), F.struct("rank", "id")).alias("id"))
+    return hits.join(ids, "text", "left").select(F.coalesce("id", F.concat(F.lit("bm25_"), F.col("index").cast("string"))).alias("id"), "text", "score")
 
 
 def overlap_counts(v: DataFrame, b: DataFrame) -> DataFrame:
@@ -174,7 +277,15 @@ def overlap_counts(v: DataFrame, b: DataFrame) -> DataFrame:
     return s.agg(F.count_if(F.col("b").isNull()).alias("vector_only"), F.count_if(F.col("v").isNull()).alias("bm25_only"), F.count_if(F.col("v").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
-def rerank(hits: DataFrame, raw: Column, top: int | None = None) -> DataFrame:
-    """hits ordered by sigmoid(raw) as rerank_score. raw: any scorer's output, such as a pandas UDF of a model."""
-    out = hits.withColumn("rerank_score", F.round(1 / (1 + F.exp(-raw)), PLACES)).orderBy(F.desc("rerank_score"), "id")
+def rerank(hits: DataFrame, raw: Column, top: int | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """hits ordered by sigmoid(raw) as rerank_score. raw: any scorer's output, such as a pandas UDF of a model.
+
+    by: columns that name a query; then top rows of each come, with their rank. A null raw score keeps the row, last.
+    """
+    out = hits.withColumn("rerank_score", 1 / (1 + F.exp(-raw)))
+    order = [F.round("rerank_score", PLACES).desc_nulls_last(), "id"]
+    if by:
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+        return out if top is None else out.where(F.col("rank") <= top)
+    out = out.orderBy(*order)
     return out if top is None else out.limit(top)
