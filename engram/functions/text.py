@@ -1,23 +1,50 @@
-"""Scalar functions on text, all built-in expressions."""
+"""Scalar functions on text: built-in expressions, and Arrow functions where the standard library's rules are the definition."""
 
 from __future__ import annotations
 
+import html as _html
+import unicodedata
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-#: Words that the tokenizer keeps whatever their length.
-CODE_KEYWORDS = ("def", "class", "if", "else", "elif", "for", "while", "return", "import", "from", "as", "try", "except", "finally", "with", "in", "is", "not", "and", "or", "async", "await", "yield", "lambda", "function", "const", "let", "var", "new", "this", "func", "go", "defer", "struct", "interface", "type", "fn", "impl", "pub", "use", "mod", "match", "enum", "trait")
+# Words that the tokenizer keeps whatever their length.
+CODE_KEYWORDS = (
+    "def class import from return yield async await if elif else for while try except finally with as lambda pass break "
+    "continue raise assert global nonlocal del true false none and or not in is "
+    "const let var function interface type export default extends implements new this super static public private "
+    "protected readonly abstract void null undefined typeof instanceof "
+    "func package struct chan select case defer go range map make append len cap "
+    "fn impl trait enum mod use pub mut ref self match loop move box where unsafe "
+    "int str string bool float double byte char list dict array tuple set vector hashmap option result error "
+    "api http url uri json xml html css sql db io ui id uuid async sync config env test mock stub spec"
+).split()
 
 
 def tokenize(text: Column, least: int = 2) -> Column:
-    """Lower-case tokens: signs part words, then underscores, then changes of case; those under least letters go."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[^\\w\\s]|_", " ")
+    """Lower-case tokens: signs part words, then underscores, then changes of case; those under least letters go.
+
+    A token has a letter or digit. Only marks and joining signs are word characters without being one, so tokens are
+    looked at for that in texts alone that hold such a sign.
+    """
+    s = F.coalesce(text, F.lit(""))
+    odd = s.rlike("[\\p{M}\\p{Pc}\\x{200C}\\x{200D}&&[^_]]")
+    s = F.regexp_replace(s, "(?U)[^\\w\\s]|_", " ")
     s = F.regexp_replace(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    long = lambda t: (F.length(t) >= least) & t.rlike("(?U)[\\p{L}\\p{N}]")
+    long = lambda t: (F.length(t) >= least) & (~odd | t.rlike("[\\p{L}\\p{N}]"))
     keep = long if least <= 2 else (lambda t: long(t) | t.isin(*CODE_KEYWORDS))
     return F.filter(F.split(F.lower(s), "\\s+"), keep)
 
 
+def identifier_words(name: Column) -> Column:
+    """Parts of one identifier by underscores and changes of case, lower-cased."""
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "([a-z])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
+    return F.filter(F.split(F.lower(s), "_"), lambda t: t != "")
+
+
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null and blank."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")).cast("long")
@@ -28,10 +55,31 @@ def cache_key(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.lower(text), "\\s+", " ")), 256)
 
 
+@F.pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def sanitize(text: Column) -> Column:
-    """No control characters but tab and line end, runs of spaces as one, no white space at the ends."""
-    s = F.regexp_replace(text, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
-    return F.regexp_replace(F.regexp_replace(s, " {2,}", " "), "^\\s+|\\s+$", "")
+    """White space at the ends goes, then Unicode's NFC, no characters below U+0020 but tab and line end, runs of spaces as one.
+
+    Only texts with characters beyond Latin-1 pass through Python: all others are in NFC.
+    """
+    s = F.regexp_replace(text, "(?U)^[\\s\\x{1C}-\\x{1F}]+|[\\s\\x{1C}-\\x{1F}]+$", "")
+    s = F.coalesce(_nfc(F.when(s.rlike("[^\\x{0}-\\x{FF}]"), s)), s)
+    return F.regexp_replace(F.regexp_replace(s, "[\\x00-\\x08\\x0B-\\x1F]", ""), " {2,}", " ")
+
+
+def lines_tidied(text: Column) -> Column:
+    """Lines without white space at their ends and with one space between words; blank lines go."""
+    lines = F.transform(F.split(text, "\\R"), lambda x: F.trim(F.regexp_replace(x, "(?U)\\s+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def parse_date(text: Column) -> Column:
+    """ISO 8601 to a timestamp; without a zone it is in UTC; null where it can't be read."""
+    zoned = F.when(text.rlike("(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$"), text).otherwise(F.concat(text, F.when(text.rlike("T|[0-9] [0-9]"), "Z").otherwise("T00:00:00Z")))
+    return F.try_to_timestamp(zoned)
 
 
 def script_language(text: Column) -> Column:
@@ -47,27 +95,57 @@ def preview(text: Column, most: int = 100) -> Column:
 # --- HTML -------------------------------------------------------------------------------------------------------------
 
 
+_TAG = """<[A-Za-z/!?](?:[^"'>]|"[^"]*"|'[^']*')*>"""
+
+
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else _html.unescape(t))
+
+
 def html_text(html: Column) -> Column:
-    """Text without scripts, styles, comments and tags; blocks and runs of white space become one space."""
-    s = F.regexp_replace(html, "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->", "")
-    s = F.regexp_replace(F.regexp_replace(s, "(?i)</?(?:p|div|h[1-6]|br|li|tr)\\b[^>]*>", " "), "<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(s, "\\s+", " "))
+    """Text without scripts, styles, comments and tags: each of these, and each run of white space, is one space.
+
+    Character references become their characters, all of HTML's; only texts with one pass through Python.
+    """
+    s = F.regexp_replace(html, "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->", " ")
+    s = F.regexp_replace(s, _TAG, " ")
+    s = F.coalesce(_unescaped(F.when(s.contains("&"), s)), s)
+    return F.trim(F.regexp_replace(s, "(?U)\\s+", " "))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _absolute(raw: pd.Series, base: pd.Series) -> pd.Series:
+    def one(values, page):
+        if values is None:
+            return None
+        out = dict.fromkeys(_html.unescape(v[1:-1] if v[:1] in ("'", '"') else v) for v in values)
+        return list(dict.fromkeys(v if v.startswith(("http://", "https://", "ftp://")) or not page else urljoin(page, v) for v in out if v))
+
+    return pd.Series([one(v, p) for v, p in zip(raw, base, strict=True)])
 
 
 def html_links(html: Column, base: Column) -> Column:
-    """Targets of <a href> in order of first appearance, relative ones made absolute by the page's url."""
-    raw = F.array_distinct(F.regexp_extract_all(html, F.lit('<a\\s[^>]*?href="([^"]*)"'), F.lit(1)))
-    root = F.regexp_extract(base, "^([a-z]+://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, "^([a-z]+://[^?#]*)", 1), "[^/]*$", "")
-    return F.transform(raw, lambda x: F.when(x.rlike("^[a-z]+:"), x).when(x.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), x)).when(x.startswith("/"), F.concat(root, x)).otherwise(F.concat(folder, x)))
+    """Targets of <a href>, however quoted, in order of first appearance; relative ones made absolute by the page's url."""
+    found = F.regexp_extract_all(html, F.lit("""(?is)<a\\s(?:[^"'>]|"[^"]*"|'[^']*')*?\\bhref\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>"']+)"""), F.lit(1))
+    return _absolute(found, base)
 
 
-def html_meta(html: Column, name: str) -> Column:
-    """Content of a <meta name>; null where there is none."""
-    got = F.regexp_extract(html, f'(?is)<meta\\s+name="{name}"\\s+content="([^"]*)"', 1)
-    return F.when(got != "", got)
+def html_meta(html: Column, *names: str) -> Column:
+    """Content of the first <meta> of one of the names (name or property), whatever the order of its attributes; else null."""
+    out = []
+    for n in names:
+        named, content = f"""(?:name|property)\\s*=\\s*["']?{n}["']?(?=[\\s/>])""", """content\\s*=\\s*(?:"([^"]*)"|'([^']*)')"""
+        for pattern in (f"(?is)<meta\\s(?:[^>]*?\\s)?{named}[^>]*?\\s{content}", f"(?is)<meta\\s(?:[^>]*?\\s)?{content}[^>]*?\\s{named}"):
+            out += [F.nullif(F.regexp_extract(html, pattern, i), F.lit("")) for i in (1, 2)]
+    return F.coalesce(*out)
+
+
+def html_date(html: Column) -> Column:
+    """Day of publication, as the page's meta data or its first <time datetime> has it; else null."""
+    named = html_meta(html, "article:published_time", "date", "dc.date", "pubdate")
+    time = F.nullif(F.regexp_extract(html, """(?is)<time\\s[^>]*?datetime\\s*=\\s*["']([^"']+)""", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(named, time), "^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit(""))
 
 
 def html_title(html: Column) -> Column:
@@ -77,46 +155,87 @@ def html_title(html: Column) -> Column:
 
 # --- Markdown ---------------------------------------------------------------------------------------------------------
 
-_FENCE = "(?s)```([A-Za-z0-9_+-]*)\\n(.*?)```"
+_FENCE = "(?ms)^\\s*(`{3,}|~{3,})[ \\t]*([^\\n]*)\\n(.*?)(?:\\n\\s*\\1[ \\t]*$)"
+_IMAGE, _LINK, _AUTO = "!\\[([^\\]]*)\\]\\(([^)]+)\\)", "\\[([^\\]]+)\\]\\(([^)]+)\\)", "<(https?://[^>\\s]+)>"
 
 
 def markdown_text(md: Column) -> Column:
-    s = F.regexp_replace(md, _FENCE, "$2")
-    s = F.regexp_replace(F.regexp_replace(s, "`([^`]*)`", "$1"), "!\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
-    s = F.regexp_replace(F.regexp_replace(s, "\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), "(?m)^#{1,6}\\s+", "")
-    s = F.regexp_replace(F.regexp_replace(s, "(\\*\\*|__)(.*?)\\1", "$2"), "(?m)^\\s*(?:[-*+]|\\d+\\.)\\s+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, "(?m)^>\\s?", ""), "\\n{3,}", "\n\n"))
+    """Readable text: fences, marks of headings, quotes and lists, and emphasis go; a link becomes its label (and url)."""
+    s = F.replace(md, F.lit("\r\n"), F.lit("\n"))
+    s = F.regexp_replace(s, _FENCE, "\n$3\n")
+    for pattern, to in (
+        ("(?m)^#{1,6}\\s*", ""), ("(?m)^>\\s*", ""), ("(?m)^\\s*(?:[-+*]|[0-9]+\\.)\\s+", ""),
+        ("(?s)(\\*\\*|__)(.+?)\\1", "$2"), ("(?s)(\\*|_)(.+?)\\1", "$2"), ("(?s)~~(.+?)~~", "$1"), ("`([^`]+)`", "$1"),
+        ("!\\[\\s*\\]\\(\\s*([^)]*?)\\s*\\)", "$1"), ("!\\[\\s*([^\\]]*?)\\s*\\]\\(\\s*([^)]+?)\\s*\\)", "$1 ($2)"), ("\\[\\s*([^\\]]+?)\\s*\\]\\(\\s*([^)]+?)\\s*\\)", "$1 ($2)"), (_AUTO, "$1"),
+        ("[ \\t]+\\n", "\n"), ("\\n[ \\t]+", "\n"), ("\\n{3,}", "\n\n"), ("(?U)^\\s+|\\s+$", ""),
+    ):
+        s = F.regexp_replace(s, pattern, to)
+    return s
 
 
 def markdown_links(md: Column) -> Column:
-    """'label (url)' of each link, in order of first appearance."""
-    labels, urls = (F.regexp_extract_all(md, F.lit("(?<!!)\\[([^\\]]*)\\]\\(([^)\\s]*)[^)]*\\)"), F.lit(i)) for i in (1, 2))
-    return F.array_distinct(F.zip_with(labels, urls, lambda a, b: F.concat(a, F.lit(" ("), b, F.lit(")"))))
+    """'label (url)' of images, then of all bracketed links, then bare autolinks; each once, by first appearance.
+
+    An image's brackets count as a link's too, under its label; an image without a label is an 'image'.
+    """
+
+    def pairs(pattern: str, unnamed: str | None) -> Column:
+        labels, urls = (F.transform(F.regexp_extract_all(md, F.lit(pattern), F.lit(i)), lambda x: F.trim(x)) for i in (1, 2))
+        name = (lambda a: F.when(a == "", F.lit(unnamed)).otherwise(a)) if unnamed else (lambda a: a)
+        return F.zip_with(labels, urls, lambda a, b: F.concat(name(a), F.lit(" ("), b, F.lit(")")))
+
+    return F.array_distinct(F.concat(pairs(_IMAGE, "image"), pairs(_LINK, None), F.regexp_extract_all(md, F.lit(_AUTO), F.lit(1))))
 
 
 def markdown_code(md: Column) -> Column:
-    """Fenced blocks as array<struct<language, code>>."""
-    langs, code = (F.regexp_extract_all(md, F.lit(_FENCE), F.lit(i)) for i in (1, 2))
-    return F.zip_with(langs, code, lambda a, b: F.struct(a.alias("language"), b.alias("code")))
+    """Fenced blocks as array<struct<language, code>>; language is null where none is named."""
+    langs, code = (F.regexp_extract_all(md, F.lit(_FENCE), F.lit(i)) for i in (2, 3))
+    return F.zip_with(langs, code, lambda a, b: F.struct(F.nullif(F.trim(a), F.lit("")).alias("language"), F.regexp_replace(b, "(?U)\\s+$", "").alias("code")))
 
 
 def markdown_sections(md: Column) -> Column:
-    """array<struct<level, title, content>>: a header's content goes to the next header of any level."""
-    bare = F.concat(F.lit("\n"), F.regexp_replace(md, _FENCE, ""))
-    parts = F.slice(F.split(bare, "\\n(?=#{1,6}\\s)"), 2, 1 << 30)
-    head = lambda p: F.regexp_extract(p, "^(#{1,6})\\s+([^\\n]*)", 1)
-    return F.transform(parts, lambda p: F.struct(F.length(head(p)).alias("level"), F.trim(F.regexp_extract(p, "^#{1,6}\\s+([^\\n]*)", 1)).alias("title"), F.trim(F.regexp_replace(p, "^[^\\n]*\\n?", "")).alias("content")))
+    """array<struct<level, title, content>>: a header's content goes to the next header of any level, also inside a fence."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), md), "\\n(?=[ \\t]*#{1,6}[ \\t]*[^\\s#])"), 2, 1 << 30)
+    head = "(?s)^[ \\t]*(#{1,6})[ \\t]*([^\\n]+)(.*)$"
+    tidy = lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
+    return F.transform(parts, lambda p: F.struct(F.length(F.regexp_extract(p, head, 1)).alias("level"), F.regexp_replace(tidy(F.regexp_extract(p, head, 2)), "\\s*#+$", "").alias("title"), tidy(F.regexp_extract(p, head, 3)).alias("content")))
 
 
 # --- Entities ---------------------------------------------------------------------------------------------------------
 
 
+# Endings that a name loses, one after the other.
+_ENDINGS = ("\\s+(programming\\s+)?language$", "\\s+company$", "\\s+framework$", "\\s+library$", "\\s+tool$", "\\s+lang$")
+#: Types that the labels of a name tagger stand for.
+LABELS = {"PERSON": "PERSON", "ORG": "ORG", "GPE": "GPE", "PRODUCT": "TECHNOLOGY", "EVENT": "EVENT", "DATE": "DATE", "LOC": "GPE", "FAC": "ORG"}
+
+
+def entity_type(label: Column) -> Column:
+    """The type of a name tagger's label; null for labels that aren't kept."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), label)
+
+
+def _title(s: Column) -> Column:
+    """Each run of letters with a capital first and small ones after, as in str.title()."""
+    words = F.regexp_extract_all(s, F.lit("\\p{L}+|[^\\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
 def normalize_entity(name: Column, kind: Column) -> Column:
-    """One space between words; no leading article (TECHNOLOGY, CONCEPT); no company suffix; short capitals stay, else title case."""
-    s = F.trim(F.regexp_replace(name, "\\s+", " "))
+    """One form of a name: one space between words, no article before a technology or concept, no generic ending.
+
+    Two to five capitals stay; people, organisations and events are in title case, places of up to three letters in
+    capitals, technologies in title case where they have no capital. Blank names are null.
+    """
+    s = F.trim(F.regexp_replace(name, "(?U)\\s+", " "))
     s = F.when(kind.isin("TECHNOLOGY", "CONCEPT"), F.regexp_replace(s, "(?i)^(?:the|a|an)\\s+", "")).otherwise(s)
-    s = F.regexp_replace(s, "(?i),?\\s+(?:Inc|Corp|Ltd|LLC|Co|Corporation)\\.?$", "")
-    return F.when(s.rlike("^[A-Z]{2,5}$"), s).when(kind.isin("PERSON", "ORG", "GPE"), F.initcap(F.lower(s))).otherwise(s)
+    for ending in _ENDINGS:
+        s = F.regexp_replace(s, f"(?i){ending}", "")
+    s = F.trim(s)
+    short = (F.length(s).between(2, 5)) & s.rlike("\\p{Lu}") & ~s.rlike("\\p{Ll}")
+    cased = F.when(kind.isin("PERSON", "ORG", "EVENT"), _title(s)).when(kind == "GPE", F.when(F.length(s) <= 3, F.upper(s)).otherwise(_title(s)))
+    cased = cased.when(kind.isin("TECHNOLOGY", "PRODUCT") & ~s.rlike("\\p{Lu}"), _title(s)).otherwise(s)
+    return F.when(F.trim(name) != "", F.when(short, s).otherwise(cased))
 
 
 def json_array(reply: Column, schema: str) -> Column:

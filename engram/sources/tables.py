@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,41 @@ def qrels(spark: SparkSession, folder: str) -> DataFrame:
 
 def ops(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").select(F.col("event_id").alias("op_id"), F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"), "ts")
+
+
+def markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, md: every document as a page with headings, links, emphasis and a fence around its number."""
+    fence = F.lit("```")
+    parts = [
+        F.lit("# Page "), F.col("doc_id"), F.lit("\n\n"), F.lit("Some **bold** and ~~old~~ words, [a link](http://x.org/"), F.col("doc_id"), F.lit(") and <https://y.org/"), F.col("doc_id"), F.lit(">.\n\n## Text ##\n\n"),
+        F.coalesce("text", F.lit("")), F.lit("\n\n"), fence, F.lit("python\nx = "), F.col("doc_id"), F.lit("\n"), fence, F.lit("\n\n### End\n\n- ![pic](p.png)\n"),
+    ]
+    return read(spark, folder, "documents").select("doc_id", F.concat(*[p.cast("string") for p in parts]).alias("md"))
+
+
+#: Sources by number: {0} is a part's key, {1} half of it.
+_SOURCES = {
+    "py": "import os\nfrom typing import List\n\n\nclass C{0}(C{1}):\n    def run(self, x):\n        self.log(x)\n        return helper{0}(x, 1)\n\n\ndef helper{0}(x, y):\n    return len(x) + C{0}()\n",
+    "ts": "// c\nexport class C{0} extends C{1} {{\n  run(x: string) {{ this.log(x); return helper{0}(x, 1); }}\n}}\nfunction helper{0}(x, y) {{ return parseInt(x) + new C{0}(); }}\n",
+    "go": "package main\n\ntype C{0} struct {{\n}}\n\nfunc (c *C{0}) run(x string) int {{\n\tc.log(x)\n\treturn helper{0}(x, 1)\n}}\n\nfunc helper{0}(x string, y int) int {{\n\treturn len(x)\n}}\n",
+    "rs": "pub struct C{0} {{\n}}\n\nimpl C{0} {{\n    pub fn run(&self, x: &str) -> i32 {{\n        self.log(x);\n        helper{0}(x, 1)\n    }}\n}}\n\nfn helper{0}(x: &str, y: i32) -> i32 {{\n    println!(\"a\");\n    0\n}}\n",
+}
+
+
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """relative_path, path, size, text: a source file for every part, in four languages by its key."""
+    key = F.col("p_partkey")
+    kinds = list(_SOURCES)
+    text = F.lit(None).cast("string")
+    for i, k in enumerate(kinds):
+        pieces = [F.lit(x) if j % 2 == 0 else (key if x == "0" else F.floor(key / 2)).cast("string") for j, x in enumerate(_pieces(_SOURCES[k]))]
+        text = F.when(key % len(kinds) == i, F.concat(*pieces)).otherwise(text)
+    ext = F.element_at(F.array(*[F.lit(k) for k in kinds]), (key % len(kinds) + 1).cast("int"))
+    path = F.concat(F.lit("src/m"), key.cast("string"), F.lit("."), ext)
+    return read(spark, folder, "part").select(path.alias("relative_path"), path.alias("path"), F.octet_length(text).cast("long").alias("size"), text.alias("text"), key.alias("key"))
+
+
+def _pieces(source: str) -> list[str]:
+    """Text, number of a place, text, ...: a source with its braces undoubled."""
+    out = re.split(r"\{([01])\}", source.replace("{{", "\x01").replace("}}", "\x02"))
+    return [x.replace("\x01", "{").replace("\x02", "}") for x in out]
