@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.store import materialised, remove
+
 #: Types that a count by type always lists.
 ENTITY_TYPES = ("PERSON", "ORG", "GPE", "TECHNOLOGY", "CONCEPT", "EVENT", "DATE")
 
@@ -104,64 +106,118 @@ def upsert_calls(have: DataFrame, new: DataFrame, functions: DataFrame | None =
     return both.groupBy("caller", "callee", "line").agg(F.max_by(F.struct("type", "args"), F.struct("_new", "type", "args")).alias("r")).select("caller", "callee", "line", "r.type", "r.args")
 
 
-def class_hierarchy(classes: DataFrame, most: int = 20) -> DataFrame:
-    """name, depth, n_children of classes (name, bases: array): the greatest depth from any root, whatever the order."""
-    links = classes.select("name", F.explode_outer("bases").alias("base"))
-    known = classes.select(F.col("name").alias("base")).distinct()
-    inner = links.join(known, "base", "left_semi").select("name", "base")
-    depth = classes.select("name").distinct().withColumn("depth", F.lit(0).cast("long"))
-    level = depth.join(inner.select("name").distinct(), "name", "left_anti").select("name", F.lit(0).cast("long").alias("d"))
-    out = level
-    for i in range(1, most + 1):
-        level = inner.join(level.select(F.col("name").alias("base")), "base").select("name").distinct().withColumn("d", F.lit(i).cast("long"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    children = inner.groupBy(F.col("base").alias("name")).agg(F.countDistinct(inner["name"]).alias("c"))
-    return depth.select("name").join(out.groupBy("name").agg(F.max("d").alias("d")), "name", "left").join(children, "name", "left").select("name", F.coalesce("d", F.lit(0)).alias("depth"), F.coalesce("c", F.lit(0)).alias("n_children"))
-
+#: Levels of a hierarchy that one job goes down.
+_LEVELS = 8
 
-# --- Lines of the formats of export -------------------------------------------------------------------------------------
 
+def class_hierarchy(classes: DataFrame) -> DataFrame:
+    """name, depth, n_children of classes (name, bases: array): the greatest depth from any root, whatever the order.
 
-def _xml(c: Column) -> Column:
+    Bases that aren't among the classes don't count. The classes of each level are those with a base in the one before;
+    some levels are one job, whose rows are written, so none is computed twice. It ends where a level is empty, or is
+    the same as an earlier one: then classes that still come are in or below a circle of bases, and have depth null.
+    """
+    spark = classes.sparkSession
+    names = classes.select("name").distinct()
+    links = classes.select("name", F.explode("bases").alias("base")).distinct()
+    inner = materialised(links.join(names.select(F.col("name").alias("base")), "base", "left_semi").select("name", "base"), "bases")
+    level = names.join(inner.select("name"), "name", "left_anti")
+    tops = materialised(level if not level.isEmpty() else names, "levels")  # without a root, all are in or below circles
+    parts, seen, start = [tops.select("name", F.lit(0).cast("long").alias("d"))], {}, 0
+    level, endless = tops, None
+    while endless is None:
+        rows = []
+        for i in range(start + 1, start + _LEVELS + 1):
+            level = inner.join(level.select(F.col("name").alias("base")), "base").select("name").distinct()
+            rows.append(level.withColumn("d", F.lit(i).cast("long")))
+        made = rows[0]
+        for r in rows[1:]:
+            made = made.unionByName(r)
+        made = materialised(made.coalesce(1) if start == 0 else made, "levels")
+        parts.append(made)
+        start += _LEVELS
+        level = made.where(F.col("d") == start).select("name")
+        state = tuple(level.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("name")), F.sum(F.xxhash64("name").cast("decimal(38,0)"))).first())
+        if not state[0]:
+            break
+        endless = seen.get(state)
+        seen[state] = start
+    depths = parts[0]
+    for p in parts[1:]:
+        depths = depths.unionByName(p)
+    depth = F.max("d") if endless is None else F.when(F.max("d") < endless, F.max("d"))
+    depths = depths.groupBy("name").agg(depth.alias("depth"))
+    children = inner.groupBy(F.col("base").alias("name")).agg(F.count(F.lit(1)).alias("n_children"))
+    out = names.join(depths, "name", "left").join(children, "name", "left").select("name", "depth", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))
+    out = materialised(out, "hierarchy")
+    for p in (inner, tops, *parts[1:]):
+        remove(spark, p.written_at)
+    return out
+
+
+# --- Formats of export --------------------------------------------------------------------------------------------------
+
+
+def _xml(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def _num(c: str) -> Column:
-    return F.format_string("%.2f", F.col(c))
+def _quoted(c: str) -> Column:
+    """A string as JSON has it."""
+    j = F.to_json(F.array(F.coalesce(c, F.lit(""))))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def _lines(nodes: DataFrame, edges: DataFrame, node: Column, edge: Column) -> DataFrame:
+    """kind, key, line for nodes (id, name, type, confidence) and edges (src, dst, type, strength)."""
+    n = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), node.alias("line"))
+    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("key"), edge.alias("line")))
+
+
+def _edge_id() -> Column:
+    return F.concat_ws("-", "src", "type", "dst").alias("id")
 
 
 def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """kind, key, line: a JSON object for each node and edge."""
-    n = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.format_string('{"id":"%s","labels":["Entity"],"properties":{"name":"%s","type":"%s"}}', "id", "name", "type").alias("line"))
-    e = edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("key"), F.format_string('{"source":"%s","target":"%s","type":"%s"}', "src", "dst", "type").alias("line"))
-    return n.unionByName(e)
+    """A JSON object for each node and edge."""
+    n = F.struct("id", F.array(F.lit("Entity")).alias("labels"), F.struct("name", "type", "confidence").alias("properties"))
+    e = F.struct(_edge_id(), F.col("src").alias("source"), F.col("dst").alias("target"), "type", F.struct("strength").alias("properties"))
+    return _lines(nodes, edges, F.to_json(n), F.to_json(e))
 
 
 def cytoscape_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.format_string('{"data":{"id":"%s","label":"%s"},"classes":"%s"}', "id", "name", "type").alias("line"))
-    e = edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("key"), F.format_string('{"data":{"id":"%s-%s","source":"%s","target":"%s","label":"%s"}}', "src", "dst", "src", "dst", "type").alias("line"))
-    return n.unionByName(e)
+    n = F.struct(F.struct("id", F.col("name").alias("label"), "name", "type", "confidence").alias("data"))
+    e = F.struct(F.struct(_edge_id(), F.col("src").alias("source"), F.col("dst").alias("target"), F.col("type").alias("label"), "strength").alias("data"))
+    return _lines(nodes, edges, F.to_json(n), F.to_json(e))
 
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.format_string('<node id="%s"><data key="name">%s</data><data key="type">%s</data><data key="confidence">%s</data></node>', "id", _xml(F.col("name")), "type", _num("confidence")).alias("line"))
-    e = edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("key"), F.format_string('<edge source="%s" target="%s"><data key="label">%s</data><data key="strength">%s</data></edge>', "src", "dst", "type", _num("strength")).alias("line"))
-    return n.unionByName(e)
+    def data(**values: Column) -> Column:
+        return F.concat(*[F.coalesce(F.concat(F.lit(f'<data key="{k}">'), v, F.lit("</data>")), F.lit("")) for k, v in values.items()])
+
+    n = F.concat(F.lit('<node id="'), _xml("id"), F.lit('">'), data(name=_xml("name"), type=_xml("type"), confidence=F.col("confidence").cast("string")), F.lit("</node>"))
+    e = F.concat(F.lit('<edge id="'), _xml(_edge_id()), F.lit('" source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('">'), data(label=_xml("type"), strength=F.col("strength").cast("string")), F.lit("</edge>"))
+    return _lines(nodes, edges, n, e)
 
 
 def cypher_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    text = lambda c: F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    n = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.format_string("CREATE (:Entity {id: '%s', name: '%s', type: '%s'});", "id", text("name"), "type").alias("line"))
-    e = edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("key"), F.format_string("MATCH (a {id: '%s'}), (b {id: '%s'}) CREATE (a)-[:%s {strength: %s}]->(b);", "src", "dst", "type", _num("strength")).alias("line"))
-    return n.unionByName(e)
+    """A statement for each node and edge; a type that isn't a plain name stands between backticks."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    name = F.when(F.col("type").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col("type")).otherwise(F.concat(F.lit("`"), F.replace("type", F.lit("`"), F.lit("``")), F.lit("`")))
+    n = F.concat(F.lit("CREATE (:Entity {id: "), _quoted("id"), F.lit(", name: "), _quoted("name"), F.lit(", type: "), _quoted("type"), F.lit(", confidence: "), number("confidence"), F.lit("});"))
+    e = F.concat(F.lit("MATCH (a {id: "), _quoted("src"), F.lit("}), (b {id: "), _quoted("dst"), F.lit("}) CREATE (a)-[:"), name, F.lit(" {strength: "), number("strength"), F.lit("}]->(b);"))
+    return _lines(nodes, edges, n, e)
 
 
 FORMATS = {"json": json_lines, "cytoscape": cytoscape_lines, "graphml": graphml_lines, "cypher": cypher_lines}
-_FRAME = {"json": ('{"nodes":[', '],"edges":[', "]}", ","), "cytoscape": ('{"elements":{"nodes":[', '],"edges":[', "]}}", ","), "graphml": ('<?xml version="1.0" encoding="UTF-8"?><graphml><graph edgedefault="directed">', "", "</graph></graphml>", ""), "cypher": ("", "", "", "")}
+_KEYS = "".join(f'<key id="{k}" for="{of}" attr.name="{k}" attr.type="{kind}"/>' for k, of, kind in (("name", "node", "string"), ("type", "node", "string"), ("confidence", "node", "double"), ("label", "edge", "string"), ("strength", "edge", "double")))
+_FRAME = {
+    "json": ('{"nodes":[', '],"edges":[', "]}", ","), "cytoscape": ('{"elements":{"nodes":[', '],"edges":[', "]}}", ","), "cypher": ("", "", "", ""),
+    "graphml": (f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{_KEYS}<graph id="graph" edgedefault="directed">', "", "</graph></graphml>", ""),
+}
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, kind: str) -> None:
@@ -169,10 +225,13 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, kind: str) -> N
     head, middle, foot, comma = _FRAME[kind]
     spark = nodes.sparkSession
     lines = FORMATS[kind](nodes, edges).withColumn("o", F.when(F.col("kind") == "node", 1).otherwise(3))
-    frame = spark.createDataFrame([(0, head), (2, middle), (4, foot)], "o int, line string").where("line <> ''").select("o", F.lit("").alias("key"), "line")
-    first = lines.groupBy("o").agg(F.min("key").alias("least"))
-    parted = lines.join(F.broadcast(first), "o").select("o", "key", F.when(F.col("key") == F.col("least"), F.col("line")).otherwise(F.concat(F.lit(comma), F.col("line"))).alias("line"))
-    parted.unionByName(frame).repartitionByRange("o", "key").sortWithinPartitions("o", "key").select("line").write.text(folder)
+    frame = spark.createDataFrame([(0, head), (2, middle), (4, foot)], "o int, line string").where("line <> ''").select("o", F.lit("").alias("key"), F.lit(0).alias("n"), "line")
+    least = F.broadcast(lines.groupBy("o").agg(F.min("key").alias("least")))
+    place = F.row_number().over(Window.partitionBy("o", "key").orderBy("line"))  # of rows that share a key
+    parted = lines.withColumn("n", place).join(least, "o")
+    alone = (F.col("key") == F.col("least")) & (F.col("n") == 1)
+    parted = parted.select("o", "key", "n", F.when(alone, F.col("line")).otherwise(F.concat(F.lit(comma), F.col("line"))).alias("line"))
+    parted.unionByName(frame).repartitionByRange("o", "key", "n").sortWithinPartitions("o", "key", "n").select("line").write.text(folder)
 
 
 def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:

@@ -40,3 +40,11 @@ def rollup(ops: DataFrame, by: str = "operation", value: str = "duration_ms") ->
     span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
     n = F.count(F.lit(1))
     return ops.groupBy(by).agg(n.alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"), F.round(F.when(span > 0, n / span).otherwise(0.0), 6).alias("throughput"))
+
+
+def summary(ops: DataFrame, by: str = "operation", value: str = "duration_ms") -> DataFrame:
+    """by, n, mean, share (of all operations) of each operation and, under null, of all together; uptime in seconds from first to last."""
+    span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    parts = ops.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(span, 6).alias("uptime"))
+    total = ops.agg(F.count(F.lit(1)).alias("all"))
+    return parts.crossJoin(F.broadcast(total)).select(by, "n", "mean", F.round(F.col("n") / F.col("all"), 6).alias("share"), "uptime")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.store import materialised, remove
+
 Time = Column | str
 
 
@@ -50,17 +52,30 @@ def history(versions: DataFrame, file_path: str | None = None, memory_id: int |
     return versions.where(what).orderBy(F.desc("valid_from"), F.desc("memory_id")).limit(limit)
 
 
-def version_chain(versions: DataFrame, memory_id: int, most: int = 1000) -> DataFrame:
-    """The version of an id and all before it by previous_version_id, with depth from 0: a recursive query."""
-    spark = versions.sparkSession
-    versions.select("memory_id", "version", "previous_version_id").createOrReplaceTempView("_versions")
-    return spark.sql(
-        f"""WITH RECURSIVE chain(memory_id, version, previous_version_id, depth) MAX RECURSION LEVEL {most} AS (
-          SELECT memory_id, version, previous_version_id, CAST(0 AS BIGINT) FROM _versions WHERE memory_id = {int(memory_id)}
-          UNION ALL
-          SELECT v.memory_id, v.version, v.previous_version_id, c.depth + 1 FROM chain c JOIN _versions v ON v.memory_id = c.previous_version_id
-        ) SELECT memory_id, version, depth FROM chain"""
-    )
+def version_chain(versions: DataFrame, memory_id: int) -> DataFrame:
+    """memory_id, version, depth of the version of an id (depth 0) and all before it by previous_version_id.
+
+    Links are followed by doubling: from those over one version come those over two, four and so on, each written, so a
+    chain of n versions takes about log2(n) joins. A chain that comes back to a version it had ends there.
+    """
+    links = versions.select("memory_id", "version", F.col("previous_version_id").alias("to"))
+    rows = materialised(links, "versions")
+    jump, made = rows.where("to is not null").select("memory_id", "to"), [rows]
+    found = rows.where(F.col("memory_id") == memory_id).select("memory_id", F.lit(0).cast("long").alias("depth"))
+    step = 1
+    while True:
+        more = F.broadcast(found).join(jump, "memory_id").select(F.col("to").alias("memory_id"), (F.col("depth") + step).alias("depth"))
+        after = materialised(found.unionByName(more).groupBy("memory_id").agg(F.min("depth").alias("depth")), "chain")
+        made.append(after)
+        if after.count() == found.count():
+            break
+        found, step = after, 2 * step
+        jump = materialised(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.memory_id")).select("a.memory_id", "b.to"), "jumps")
+        made.append(jump)
+    out = materialised(F.broadcast(after).join(rows, "memory_id").select("memory_id", "version", "depth"), "version_chain")
+    for x in made:
+        remove(versions.sparkSession, x.written_at)
+    return out
 
 
 def change_type() -> Column:
@@ -68,8 +83,8 @@ def change_type() -> Column:
     return F.when(F.col("version") == 1, "created").when(F.col("transaction_to").isNotNull() & ~F.col("is_current"), "deleted").otherwise("modified")
 
 
-def changes(versions: DataFrame, since: Time | None = None, until: Time | None = None, kind: str | None = None, prefix: str | None = None, limit: int | None = 100) -> DataFrame:
-    """Versions with change_type, newest first: created at since or later and before until, under a path prefix.
+def changed(versions: DataFrame, since: Time | None = None, until: Time | None = None, kind: str | None = None, prefix: str | None = None) -> DataFrame:
+    """Versions with change_type: created at since or later and before until, under a path prefix.
 
     kind: created (version 1), modified (later ones), deleted (any whose transaction time has ended).
     """
@@ -82,7 +97,12 @@ def changes(versions: DataFrame, since: Time | None = None, until: Time | None =
         keep &= F.col("file_path").startswith(prefix)
     if kind is not None:
         keep &= {"created": F.col("version") == 1, "modified": F.col("version") > 1, "deleted": F.col("transaction_to").isNotNull()}[kind]
-    out = versions.where(keep).withColumn("change_type", change_type()).orderBy(F.desc("created_at"), F.desc("memory_id"))
+    return versions.where(keep).withColumn("change_type", change_type())
+
+
+def changes(versions: DataFrame, since: Time | None = None, until: Time | None = None, kind: str | None = None, prefix: str | None = None, limit: int | None = 100) -> DataFrame:
+    """``changed``, newest first."""
+    out = changed(versions, since, until, kind, prefix).orderBy(F.desc("created_at"), F.desc("memory_id"))
     return out if limit is None else out.limit(limit)
 
 
@@ -120,10 +140,25 @@ def migrate(memories: DataFrame) -> DataFrame:
 
 
 def migration_status(memories: DataFrame) -> DataFrame:
-    """total, migrated (all three fields set), pending."""
-    done = F.col("version").isNotNull() & F.col("is_current").isNotNull() & F.col("valid_from").isNotNull()
+    """total, migrated (version, current flag and start of validity are set), pending; columns that aren't there are not set."""
+    done = F.lit(True)
+    for c in ("version", "is_current", "valid_from"):
+        done &= F.col(c).isNotNull() if c in memories.columns else F.lit(False)
     return memories.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("migrated"), F.count_if(~done).alias("pending"))
 
 
+def migrate_dry_run(memories: DataFrame) -> DataFrame:
+    """change, n: how many rows a migration would give each field."""
+    fields = ("version", "is_current", "valid_from")
+    one = memories.agg(*[(F.count_if(F.col(c).isNull()) if c in memories.columns else F.count(F.lit(1))).alias(c) for c in fields])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("change"), F.col(c).alias("n")) for c in fields])).alias("x")).select("x.*")
+
+
+def roll_back(memories: DataFrame) -> DataFrame:
+    """Migrated rows as they were: first versions without the fields of versions; later versions go."""
+    gone = ("version", "is_current", "valid_from", "valid_to", "transaction_to", "previous_version_id")
+    return memories.where("version = 1").drop(*gone)
+
+
 def migrate_workspace(df: DataFrame, default: str = "default") -> DataFrame:
     return df.withColumn("workspace_id", F.coalesce("workspace_id", F.lit(default)))

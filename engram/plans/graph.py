@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import normalize_entity
 from engram.operators import graph
-from engram.plans.memory import ENT
+from engram.plans.memory import ENT, MEM
 from engram.sources import tables
 
 START, DEPTH = "s1", 3
@@ -29,8 +29,9 @@ def _updates(s, d):
 
 
 def _names(s, d):
-    c = tables.read(s, d, "part").select("p_partkey", F.concat(F.lit("the  "), "p_name", F.lit(" Inc.")).alias("name"))
-    return c.select("p_partkey", normalize_entity(F.col("name"), F.lit("TECHNOLOGY")).alias("tech"), normalize_entity(F.col("name"), F.lit("ORG")).alias("org"))
+    c = tables.read(s, d, "part").select("p_partkey", F.concat(F.lit(" the  "), "p_name", F.lit(" Programming  language ")).alias("name"))
+    kinds = ("TECHNOLOGY", "ORG", "GPE", "DATE")
+    return c.select("p_partkey", *[normalize_entity(F.col("name"), F.lit(k)).alias(k.lower()) for k in kinds])
 
 
 def _export(kind):
@@ -43,9 +44,13 @@ def _upserted(s, d):
 
 
 def _status(s, d):
-    n, e = tables.entities(s, d), tables.relationships(s, d)
-    one = n.agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).crossJoin(e.agg(F.count(F.lit(1)).alias("n_edges")))
-    return one.withColumn("health", graph.health(F.col("n_nodes"), F.col("n_nodes")))
+    """Nodes are entities and memories; the health rule looks at both counts. A workspace without entities is a warning."""
+    m, n, e = tables.memories(s, d), tables.entities(s, d), tables.relationships(s, d)
+    counts = [x.agg(F.count(F.lit(1)).alias(c)) for x, c in ((m, "n_memories"), (e, "n_edges"))]
+    one = n.agg(F.count(F.lit(1)).alias("n_entities"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).crossJoin(counts[0]).crossJoin(counts[1])
+    empty = m.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).join(n.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("e")), "workspace_id", "full")
+    spaces = empty.select("workspace_id", graph.health(F.coalesce("n", F.lit(0)) + F.coalesce("e", F.lit(0)), F.coalesce("e", F.lit(0))).alias("health"))
+    return spaces.crossJoin(one)
 
 
 def _cooccur(s, d):
@@ -91,24 +96,26 @@ def _lines(node, edge):
 
 
 _CALLS = "calls AS (SELECT 'f' || l_suppkey AS caller, 'g' || l_partkey AS callee, l_linenumber::BIGINT AS line, CASE l_returnflag WHEN 'A' THEN 'function' WHEN 'N' THEN 'method' ELSE 'constructor' END AS type, floor(l_quantity % 5)::BIGINT AS args FROM lineitem)"
-_NORM = "regexp_replace(trim(regexp_replace('the  ' || p_name || ' Inc.', '\\s+', ' ', 'g')), '{0}', '', 'i')"
+_WORDS = "list_filter(string_split(p_name, ' '), lambda x: x <> '')"
+_TITLE = f"array_to_string(list_transform({_WORDS}, lambda w: array_to_string(list_transform(regexp_extract_all(w, '[a-zA-Z]+|[^a-zA-Z]+'), lambda x: upper(x[1]) || lower(x[2:])), '')), ' ')"
 
 SQL = {
     "entity_dedupe": "SELECT lower(n_name) AS name, count(*) AS mentions, round(max(c_custkey % 100 / 100), 6) AS confidence FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1",
     "entity_upsert_latest": "WITH c AS (SELECT 'c' || c_custkey AS id, 'name' || (c_custkey % 100) AS name, c_custkey AS updated_at FROM customer) SELECT id, name, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id >= 'c5' DESC, updated_at DESC, id DESC) AS r FROM c) WHERE r = 1",
     "entity_merge_counts": f"WITH {ENT}, k AS (SELECT DISTINCT lower(trim(name)) AS n, lower(type) AS t FROM entities) SELECT count(*) FILTER (t <> 'gpe') AS created, count(*) FILTER (t = 'gpe') AS merged FROM k",
+    "entity_normalize": f"SELECT p_partkey, CASE WHEN regexp_matches(p_name, '[A-Z]') THEN array_to_string({_WORDS}, ' ') ELSE {_TITLE} END AS technology, 'The ' || {_TITLE} AS org, 'The ' || {_TITLE} AS gpe, 'the ' || array_to_string({_WORDS}, ' ') AS date FROM part",
     "entity_ranked": f"WITH {ENT} SELECT id, round(confidence, 6) AS confidence FROM entities WHERE confidence >= 0.7 ORDER BY entities.confidence DESC, name LIMIT 50",
     "relationships_checked": f"WITH {ENT}, n AS (SELECT dst AS src, 'r' || length(src) AS dst, type, strength * 1.2 AS strength FROM relationships), k AS (SELECT type FROM relationships UNION ALL SELECT type FROM n WHERE strength BETWEEN 0 AND 1 AND src IN (SELECT id FROM entities) AND dst IN (SELECT id FROM entities)) SELECT type, count(*) AS n FROM k GROUP BY 1",
     "related_mean": _walk("mean"),
     "related_product": _walk("product"),
     "related_filtered_types": _walk("mean", "WHERE type = 'LOCATED_IN'"),
     "entity_type_counts": f"WITH {ENT}, t AS (SELECT unnest({list(graph.ENTITY_TYPES)}) AS type), c AS (SELECT type, count(*) AS n FROM entities GROUP BY 1) SELECT coalesce(t.type, c.type) AS type, coalesce(n, 0) AS n FROM t FULL JOIN c ON t.type = c.type",
-    "graph_health": f"WITH {ENT} SELECT count(*) AS n_nodes, round(avg(confidence), 6) AS mean_confidence, (SELECT count(*) FROM relationships) AS n_edges, 'Healthy' AS health FROM entities",
+    "graph_health": f"WITH {MEM}, {ENT}, w AS (SELECT coalesce(m.w, e.w) AS workspace_id, coalesce(m.n, 0) AS n, coalesce(e.n, 0) AS k FROM (SELECT workspace_id AS w, count(*) AS n FROM memories GROUP BY 1) m FULL JOIN (SELECT 'default' AS w, count(*) AS n FROM entities) e ON m.w = e.w) SELECT workspace_id, CASE WHEN n + k = 0 THEN 'Critical' WHEN k = 0 THEN 'Warning' ELSE 'Healthy' END AS health, (SELECT count(*) FROM entities) AS n_entities, (SELECT round(avg(confidence), 6) FROM entities) AS mean_confidence, (SELECT count(*) FROM memories) AS n_memories, (SELECT count(*) FROM relationships) AS n_edges FROM w",
     "subgraph_edges": f"WITH {ENT}, n AS (SELECT id FROM entities WHERE type IN ('GPE', 'ORG')) SELECT src, dst, type, strength FROM relationships WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
-    "export_json": _lines("""format('{{"id":"{}","labels":["Entity"],"properties":{{"name":"{}","type":"{}"}}}}', id, name, type)""", """format('{{"source":"{}","target":"{}","type":"{}"}}', src, dst, type)"""),
-    "export_cytoscape": _lines("""format('{{"data":{{"id":"{}","label":"{}"}},"classes":"{}"}}', id, name, type)""", """format('{{"data":{{"id":"{}-{}","source":"{}","target":"{}","label":"{}"}}}}', src, dst, src, dst, type)"""),
-    "export_graphml": _lines(f"""'<node id="' || id || '"><data key="name">' || {_XML} || '</data><data key="type">' || type || '</data><data key="confidence">' || printf('%.2f', confidence::DOUBLE) || '</data></node>'""", """'<edge source="' || src || '" target="' || dst || '"><data key="label">' || type || '</data><data key="strength">' || printf('%.2f', strength::DOUBLE) || '</data></edge>'"""),
-    "export_cypher": _lines("""'CREATE (:Entity {id: ''' || id || ''', name: ''' || replace(name, '''', '\\''') || ''', type: ''' || type || '''});'""", """'MATCH (a {id: ''' || src || '''}), (b {id: ''' || dst || '''}) CREATE (a)-[:' || type || ' {strength: ' || printf('%.2f', strength::DOUBLE) || '}]->(b);'"""),
+    "export_json": _lines("json_object('id', id, 'labels', ['Entity'], 'properties', json_object('name', name, 'type', type, 'confidence', confidence::DOUBLE))::VARCHAR", "json_object('id', src || '-' || type || '-' || dst, 'source', src, 'target', dst, 'type', type, 'properties', json_object('strength', strength::DOUBLE))::VARCHAR"),
+    "export_cytoscape": _lines("json_object('data', json_object('id', id, 'label', name, 'name', name, 'type', type, 'confidence', confidence::DOUBLE))::VARCHAR", "json_object('data', json_object('id', src || '-' || type || '-' || dst, 'source', src, 'target', dst, 'label', type, 'strength', strength::DOUBLE))::VARCHAR"),
+    "export_graphml": _lines(f"""'<node id="' || id || '"><data key="name">' || {_XML} || '</data><data key="type">' || type || '</data><data key="confidence">' || confidence::DOUBLE || '</data></node>'""", """'<edge id="' || src || '-' || type || '-' || dst || '" source="' || src || '" target="' || dst || '"><data key="label">' || type || '</data><data key="strength">' || strength::DOUBLE || '</data></edge>'"""),
+    "export_cypher": _lines("""'CREATE (:Entity {id: ' || to_json(id) || ', name: ' || to_json(name) || ', type: ' || to_json(type) || ', confidence: ' || confidence::DOUBLE || '});'""", """'MATCH (a {id: ' || to_json(src) || '}), (b {id: ' || to_json(dst) || '}) CREATE (a)-[:' || type || ' {strength: ' || strength::DOUBLE || '}]->(b);'"""),
     "callers_of": f"WITH {_CALLS} SELECT caller, line, type, args, count(*) AS n FROM calls WHERE callee = 'g7' GROUP BY ALL ORDER BY n DESC, caller, line, type, args LIMIT 100",
     "callees_of": f"WITH {_CALLS} SELECT callee, line, type, args, count(*) AS n FROM calls WHERE caller = 'f7' GROUP BY ALL ORDER BY n DESC, callee, line, type, args LIMIT 100",
     "calls_upsert": f"WITH {_CALLS}, b AS (SELECT 0 AS new, * FROM calls WHERE line <= 3 UNION ALL SELECT 1, * FROM calls WHERE line >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY caller, callee, line ORDER BY new DESC, type DESC, args DESC) AS k FROM b) SELECT type, count(*) AS n, sum(args)::BIGINT AS args FROM r WHERE k = 1 GROUP BY type",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engram.operators import graph, lifecycle, monitor, temporal
+from engram.functions.text import cache_key
+from engram.operators import graph, lifecycle, memory, monitor, temporal
+from engram.plans.search import BM25, _index
 from engram.sources import tables
 from engram.streaming import windows
 
@@ -25,8 +27,7 @@ def _ver(s, d):
 
 
 def _probes(s, d):
-    o = tables.read(s, d, "orders").where("o_orderkey % 10 = 0")
-    return o.select(F.col("o_orderkey").alias("probe_id"), F.concat(F.lit("/src/"), (F.col("o_custkey") % 150 % 5).cast("string"), F.lit("/user"), (F.col("o_custkey") % 150).cast("string"), F.lit(".py")).alias("file_path"), (F.expr("timestamp_ntz'2024-01-01'") + F.make_interval(hours=(F.col("o_orderkey") % 700).cast("int"))).alias("t"))
+    return tables.read(s, d, "orders").select(F.col("o_orderkey").alias("probe_id"), F.concat(F.lit("/src/"), (F.col("o_custkey") % 150 % 5).cast("string"), F.lit("/user"), (F.col("o_custkey") % 150).cast("string"), F.lit(".py")).alias("file_path"), (F.expr("timestamp_ntz'2024-01-01'") + F.make_interval(hours=(F.col("o_orderkey") % 700).cast("int"))).alias("t"))
 
 
 def _first(s, d):
@@ -63,6 +64,79 @@ def _stream(s, d, name, schema_of=None):
     return s.readStream.schema(schema).format("parquet").option("pathGlobFilter", f"{name}.parquet").load(d)
 
 
+def _rows_in(s, d):
+    """Documents as they come in: some blank, some with metadata that isn't JSON, some without a workspace."""
+    m = tables.memories(s, d).drop("is_current", "stale")
+    k = F.col("memory_id") % 20
+    text = F.when(k == 3, F.lit(" \n ")).when(k == 4, F.lit(None).cast("string")).otherwise(F.col("text"))
+    return m.withColumn("text", text).withColumn("metadata", F.when(k == 5, F.lit("{no")).when(k == 6, F.lit('{"a": 1}'))).withColumn("workspace_id", F.when(k != 7, F.col("workspace_id")))
+
+
+def _no_vectors(s):
+    return s.createDataFrame([], "key string, embedding array<double>")
+
+
+def _zeros(texts):
+    """Vectors whose only component tells a text's length: enough to follow them through."""
+    return texts.select("key", F.array(F.length("text").cast("double")).alias("embedding"))
+
+
+def _stored(s, d):
+    return memory.add_memories(_rows_in(s, d), _no_vectors(s), _zeros, 1)
+
+
+def _cached(s, d):
+    """Half of the chunks' vectors are cached; what is left is embedded, each text once."""
+    rows = tables.chunks(s, d)
+    cache = rows.where("memory_id % 2 = 0").select(cache_key(F.col("text")).alias("key")).distinct().withColumn("embedding", F.array(F.lit(0.0)))
+    out, new = memory.embedded(rows, _zeros, cache, 1)
+    one = out.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("embedding")[0] == 0).alias("from_cache"))
+    return one.crossJoin(new.agg(F.count(F.lit(1)).alias("embedded")))
+
+
+def _chunks_with_vectors(s, d):
+    v = tables.vectors(s, d).select(F.col("chunk_id"), "embedding")
+    texts = tables.read(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return v.join(texts, "chunk_id").select("chunk_id", F.col("chunk_id").alias("memory_id"), F.lit(0).cast("long").alias("chunk_index"), "text", "embedding")
+
+
+def _found(s, d, mode):
+    vector = list(tables.vectors(s, d).where("chunk_id = 7").first()["embedding"])
+    got = memory.search_memory(tables.memories(s, d), _chunks_with_vectors(s, d), "with from this", ["with", "from", "this"], vector, 10, mode, "en", 0.05, index=_index(s, d), tags=["q0", "q1"])
+    return got.select("memory_id", F.round("score", 6).alias("score"), "source", _text("created_at"), "chunk_index")
+
+
+def _spaces(s, d):
+    m = tables.memories(s, d)
+    return m.groupBy("workspace_id").agg(F.min("created_at").alias("created_at")).select("workspace_id", F.upper("workspace_id").alias("name"), F.lit(None).cast("string").alias("description"), "created_at")
+
+
+def _space_gone(s, d):
+    w, m, c = memory.delete_workspace(_spaces(s, d), tables.memories(s, d), tables.chunks(s, d), "de", confirm=True)
+    return lifecycle.global_stats(workspaces=w, memories=m, chunks=c)
+
+
+def _pruned(s, d, part):
+    after, report = memory.prune(tables.memories(s, d), tables.chunks(s, d), _entities_and_loose(s, d), tables.relationships(s, d), _mentions(s, d), dry_run=False, confirm=True)
+    return report if part == "report" else lifecycle.global_stats(**after)
+
+
+def _values(s, d):
+    """A cache of events' values, each good for an hour from its time."""
+    e = tables.read(s, d, "events")
+    return e.select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), F.col("value").alias("value"), (F.col("ts") + F.expr("interval 1 hour")).alias("expires_at"))
+
+
+def _now():
+    return F.expr(f"timestamp_ntz'{T}'")
+
+
+def _cache_after(s, d):
+    c = _values(s, d)
+    c = memory.cache_set(c, c.where("key like 'k1%'").select("key", F.lit(0.0).alias("value")), _now(), 600)
+    return memory.cache_info(memory.cache_delete(c, c.where("key like 'k12%'")), _now())
+
+
 QUERIES = {
     "filter_tags_any": lambda s, d: _m(s, d, tags=["q1", "de"]),
     "filter_source": lambda s, d: _m(s, d, source="src8"),
@@ -86,7 +160,7 @@ QUERIES = {
     "new_version": lambda s, d: _shape(temporal.new_version(_ver(s, d), _first(s, d), -1, T, value=F.lit(1.0))),
     "soft_delete": lambda s, d: _shape(temporal.soft_delete(_ver(s, d), _first(s, d), T)),
     "migrate_bitemporal": lambda s, d: temporal.migrate(_bare(s, d)).select("memory_id", "version", "is_current", _text("valid_from"), F.col("valid_to").isNull().alias("open")),
-    "migration_status": lambda s, d: temporal.migration_status(temporal.migrate(_bare(s, d))),
+    "migration_status": lambda s, d: temporal.migration_status(temporal.migrate(_bare(s, d).where("memory_id % 4 <> 0")).unionByName(temporal.migrate(_bare(s, d)).where("memory_id % 4 = 0").withColumn("valid_from", F.lit(None).cast("timestamp_ntz")))),
     "migrate_workspace": lambda s, d: temporal.migrate_workspace(_bare(s, d)).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")),
     "stale_preview": lambda s, d: lifecycle.stale_preview(tables.memories(s, d), tables.chunks(s, d), None),
     "stale_counts": lambda s, d: lifecycle.stale_counts(tables.memories(s, d), tables.chunks(s, d)),
@@ -105,6 +179,28 @@ QUERIES = {
     "events_tumbling": lambda s, d: windows.tumbling(tables.read(s, d, "events")).select(_text("start"), "event_type", "n", "total"),
     "events_sliding": lambda s, d: windows.tumbling(tables.read(s, d, "events"), "1 hour", "30 minutes").select(_text("start"), "event_type", "n", "total"),
     "events_session": lambda s, d: windows.sessions(tables.read(s, d, "events"), "3 hours").select("user_id", _text("start"), "n"),
+    "add_memory": lambda s, d: _stored(s, d).memories.select("memory_id", "n_chunks", "workspace_id", "version", "is_current", _text("valid_from")),
+    "add_memory_chunks": lambda s, d: _stored(s, d).chunks.select("chunk_id", "chunk_index", F.sha2("text", 256).alias("digest"), "workspace_id"),
+    "add_memory_rejected": lambda s, d: _stored(s, d).rejected,
+    "embed_look_aside": _cached,
+    "tool_search_end_to_end": lambda s, d: _found(s, d, "vector"),
+    "tool_search_bm25": lambda s, d: _found(s, d, "bm25"),
+    "tool_search_hybrid": lambda s, d: _found(s, d, "hybrid"),
+    "tool_search_graph": lambda s, d: _found(s, d, "graph"),
+    "ad_hoc_query": lambda s, d: memory.ad_hoc(s, "SELECT source, count(*) AS n FROM {m} WHERE workspace_id = :w GROUP BY source", {"w": "en"}, m=tables.memories(s, d)),
+    "workspace_create_list": lambda s, d: memory.list_workspaces(memory.create_workspace(_spaces(s, d), "new-1", "New", T)).select("workspace_id", "name", _text("created_at")),
+    "workspace_delete": _space_gone,
+    "prune_report": lambda s, d: _pruned(s, d, "report"),
+    "prune_delete": lambda s, d: _pruned(s, d, "after"),
+    "cache_scan": lambda s, d: memory.cache_scan(_values(s, d), _now(), "k?5*"),
+    "cache_set_delete_info": _cache_after,
+    "graph_build_entities": lambda s, d: memory.build_graph(tables.read(s, d, "documents"))[0].select("name", "mentions", F.round("confidence", 6).alias("confidence")),
+    "graph_build_edges": lambda s, d: memory.build_graph(tables.read(s, d, "documents"))[1].select("src", "dst", F.round("strength", 6).alias("strength"), "n"),
+    "stats_summary": lambda s, d: monitor.summary(tables.ops(s, d)).withColumn("operation", F.coalesce("operation", F.lit("all"))),
+    "latency_windows": lambda s, d: windows.latency(tables.ops(s, d)).select(_text("start"), "operation", "n", "low", "high", "mean"),
+    "sessions_expired": lambda s, d: windows.expired_sessions(tables.read(s, d, "events"), "13 days", T).groupBy("expired").agg(F.count(F.lit(1)).alias("n")),
+    "change_feed_rows": lambda s, d: windows.change_feed(_ver(s, d), "2024-01-10", prefix="/src/3/").select(*_V, "change_type"),
+    "migration_dry_run": lambda s, d: temporal.migrate_dry_run(_bare(s, d)),
     "ingest_turns": lambda s, d: windows.ingest(tables.read(s, d, "conversations")),
 }
 
@@ -146,6 +242,16 @@ def _pct(p):
     return f"round(CASE WHEN n = 1 THEN a[1] ELSE a[{low}] + ({at} - {low}) * (a[{low} + 1] - a[{low}]) END, 6)"
 
 
+_IN = """rows_in AS (SELECT doc_id AS memory_id, CASE doc_id % 20 WHEN 3 THEN ' ' WHEN 4 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 20 = 7 THEN 'default' ELSE lang END AS workspace_id, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at FROM documents),
+w_in AS (SELECT *, greatest(ceil((length(text) - 512) / 462.0), 0)::BIGINT + 1 AS n_windows FROM rows_in WHERE memory_id % 20 NOT IN (3, 4, 5) AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+ok AS (SELECT *, n_windows - (n_windows > 1 AND length(text) - (n_windows - 1) * 462 < 100)::BIGINT AS n_chunks FROM w_in)"""
+_FOUND = f"""{MEM}, {BM25}, v0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+live AS (SELECT memory_id AS id FROM memories WHERE workspace_id = 'en' AND q IN (0, 1)), chunked AS (SELECT id FROM live JOIN v0 USING (id)),
+vec AS (SELECT a.id, round(list_cosine_similarity(a.e, q.e), 12) AS score FROM v0 a JOIN chunked USING (id), v0 q WHERE q.id = 7 AND list_cosine_similarity(a.e, q.e) >= 0.05 ORDER BY score DESC, a.id LIMIT 50),
+word AS (SELECT doc_id AS id, score FROM all_hits WHERE doc_id IN (SELECT id FROM chunked) ORDER BY score DESC, doc_id LIMIT 50)"""
+_RESULT = f"SELECT memory_id, round(f.score, 6) AS score, source, strftime(created_at, '{_F}') AS created_at, 0::BIGINT AS chunk_index FROM {{}} f JOIN memories m ON m.memory_id = f.id ORDER BY round(f.score, 12) DESC, memory_id LIMIT 10"
+_NAMED = "named AS (SELECT doc_id, entity AS name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1)) AS entity FROM documents) GROUP BY 1, 2)"
+
 SQL = {
     "filter_tags_any": _mem("workspace_id = 'de' OR coalesce(q = 1, FALSE)"),
     "filter_source": _mem("source = 'src8'"),
@@ -158,7 +264,7 @@ SQL = {
     "asof_valid": _asof(_ALIVE_V),
     "asof_transaction": _asof(_ALIVE_T),
     "asof_both": _asof(f"{_ALIVE_V} AND {_ALIVE_T}"),
-    "asof_many_probes": f"WITH {VER}, p AS (SELECT o_orderkey AS probe_id, '/src/' || (o_custkey % 150 % 5) || '/user' || (o_custkey % 150) || '.py' AS file_path, TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 700) AS t FROM orders WHERE o_orderkey % 10 = 0), j AS (SELECT probe_id, p.file_path, memory_id, version, row_number() OVER (PARTITION BY probe_id ORDER BY version DESC) AS r FROM p LEFT JOIN versions v ON v.file_path = p.file_path AND valid_from <= t AND (valid_to IS NULL OR valid_to > t)) SELECT probe_id, file_path, memory_id::VARCHAR AS memory_id, version::VARCHAR AS version FROM j WHERE r = 1",
+    "asof_many_probes": f"WITH {VER}, p AS (SELECT o_orderkey AS probe_id, '/src/' || (o_custkey % 150 % 5) || '/user' || (o_custkey % 150) || '.py' AS file_path, TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 700) AS t FROM orders), j AS (SELECT probe_id, p.file_path, memory_id, version, row_number() OVER (PARTITION BY probe_id ORDER BY version DESC) AS r FROM p LEFT JOIN versions v ON v.file_path = p.file_path AND valid_from <= t AND (valid_to IS NULL OR valid_to > t)) SELECT probe_id, file_path, memory_id::VARCHAR AS memory_id, version::VARCHAR AS version FROM j WHERE r = 1",
     "history_by_file": f"WITH {VER} SELECT memory_id, version, strftime(valid_from, '{_F}') AS valid_from FROM versions WHERE {_ONE} ORDER BY versions.valid_from DESC, memory_id DESC LIMIT 50",
     "history_by_id": f"WITH {VER} SELECT memory_id, version FROM versions WHERE memory_id = 40",
     "version_chain": f"WITH {VER}, top AS (SELECT version AS v FROM versions WHERE {_ONE} AND version = 3) SELECT memory_id, version, v - version AS depth FROM versions, top WHERE {_ONE} AND version <= v",
@@ -169,7 +275,28 @@ SQL = {
     "new_version": _edited(f"TIMESTAMP '{T}'", f"TIMESTAMP '{T}'", "FALSE", f" UNION ALL SELECT -1, 4, TRUE, NULL, NULL FROM versions WHERE {_ONE} AND version = 3"),
     "soft_delete": _edited("valid_to", f"TIMESTAMP '{T}'", "FALSE"),
     "migrate_bitemporal": f"WITH {MEM} SELECT memory_id, 1::BIGINT AS version, TRUE AS is_current, strftime(created_at, '{_F}') AS valid_from, TRUE AS open FROM memories",
-    "migration_status": f"WITH {MEM} SELECT count(*) AS total, count(*) AS migrated, 0::BIGINT AS pending FROM memories",
+    "migration_status": "SELECT count(*) AS total, count(*) FILTER (doc_id % 4 <> 0) AS migrated, count(*) FILTER (doc_id % 4 = 0) AS pending FROM documents",
+    "migration_dry_run": "SELECT unnest(['version', 'is_current', 'valid_from']) AS change, count(*) AS n FROM documents",
+    "add_memory": f"WITH {_IN} SELECT memory_id, n_chunks, workspace_id, 1::BIGINT AS version, TRUE AS is_current, strftime(created_at, '{_F}') AS valid_from FROM ok WHERE n_chunks <= 100",
+    "add_memory_chunks": f"WITH {_IN}, e AS (SELECT *, unnest(range(n_chunks)) AS chunk_index FROM ok WHERE n_chunks <= 100) SELECT memory_id || ':' || chunk_index AS chunk_id, chunk_index, sha256(CASE WHEN chunk_index = n_chunks - 1 AND n_windows > n_chunks THEN substring(text, (chunk_index * 462 + 1)::INT, 512) || substring(text, (n_chunks * 462 + 1)::INT) ELSE substring(text, (chunk_index * 462 + 1)::INT, 512) END) AS digest, workspace_id FROM e",
+    "add_memory_rejected": f"WITH {_IN} SELECT memory_id, CASE memory_id % 20 WHEN 4 THEN 'null' WHEN 3 THEN 'blank' WHEN 5 THEN 'metadata not JSON' END AS reason FROM rows_in WHERE memory_id % 20 IN (3, 4, 5) UNION ALL SELECT memory_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'blank' ELSE 'too many chunks' END FROM rows_in WHERE memory_id % 20 NOT IN (3, 4, 5) AND (trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' OR memory_id IN (SELECT memory_id FROM ok WHERE n_chunks > 100))",
+    "embed_look_aside": f"WITH {CHUNKS}, k AS (SELECT memory_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM chunks), c AS (SELECT DISTINCT key FROM k WHERE memory_id % 2 = 0) SELECT count(*) AS chunks, count(*) FILTER (key IN (SELECT key FROM c)) AS from_cache, count(DISTINCT key) FILTER (key NOT IN (SELECT key FROM c)) AS embedded FROM k",
+    "tool_search_end_to_end": f"WITH {_FOUND} {_RESULT.format('vec')}",
+    "tool_search_bm25": f"WITH {_FOUND} {_RESULT.format('word')}",
+    "tool_search_hybrid": f"WITH {_FOUND}, vr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM vec), wr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM word), both_ AS (SELECT coalesce(vr.id, wr.id) AS id, coalesce(0.5 / (60 + vr.r), 0) + coalesce(0.5 / (60 + wr.r), 0) AS score FROM vr FULL JOIN wr ON vr.id = wr.id) {_RESULT.format('both_')}",
+    "ad_hoc_query": "SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source",
+    "workspace_create_list": f"SELECT lang AS workspace_id, upper(lang) AS name, strftime(TIMESTAMP '2024-01-01' + to_minutes(min(doc_id)), '{_F}') AS created_at FROM documents GROUP BY lang UNION ALL SELECT 'new-1', 'New', '{T}'",
+    "workspace_delete": f"WITH {MEM}, {CHUNKS} SELECT (SELECT count(DISTINCT lang) - 1 FROM documents) AS workspaces, (SELECT count(*) FROM memories WHERE workspace_id <> 'de') AS memories, (SELECT count(*) FROM chunks WHERE memory_id NOT IN (SELECT memory_id FROM memories WHERE workspace_id = 'de')) AS chunks",
+    "prune_report": f"WITH {MEM}, {CHUNKS}, {ENT}, {_LOOSE} SELECT 'stale_code' AS what, count(*) AS n FROM memories WHERE stale UNION ALL SELECT 'stale_chunks', count(*) FROM chunks WHERE memory_id IN (SELECT memory_id FROM memories WHERE stale) UNION ALL SELECT 'orphaned_chunks', count(*) FROM chunks WHERE memory_id >= 1000000 UNION ALL SELECT 'orphaned_entities', count(*) FROM orphans",
+    "prune_delete": f"WITH {MEM}, {CHUNKS}, {ENT}, {_LOOSE} SELECT (SELECT count(*) FROM memories WHERE NOT stale) AS memories, (SELECT count(*) FROM chunks WHERE memory_id IN (SELECT memory_id FROM memories WHERE NOT stale)) AS chunks, (SELECT count(*) FROM ent2) - (SELECT count(*) FROM orphans) AS entities",
+    "cache_scan": f"SELECT 'k' || event_id AS key FROM events WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '{T}' AND regexp_matches('k' || event_id, '^k.5')",
+    "cache_set_delete_info": f"SELECT count(*) AS keys, count(*) FILTER (live) AS live, count(*) FILTER (NOT live) AS expired FROM (SELECT starts_with(event_id::VARCHAR, '1') OR ts + INTERVAL 1 HOUR > TIMESTAMP '{T}' AS live FROM events WHERE NOT starts_with(event_id::VARCHAR, '12'))",
+    "graph_build_entities": f"WITH {_NAMED} SELECT name, sum(n)::BIGINT AS mentions, round(1 - 0.15 / count(*), 6) AS confidence FROM named GROUP BY name",
+    "graph_build_edges": f"WITH {_NAMED}, p AS (SELECT name, count(*) AS texts FROM named GROUP BY name), e AS (SELECT a.name AS src, b.name AS dst, count(*) AS n FROM named a JOIN named b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 2) SELECT src, dst, round(n / least(x.texts, y.texts), 6) AS strength, n FROM e JOIN p x ON x.name = src JOIN p y ON y.name = dst",
+    "stats_summary": "WITH o AS (SELECT event_type AS operation, value, ts FROM events) SELECT coalesce(operation, 'all') AS operation, count(*) AS n, round(avg(value), 6) AS mean, round(count(*) / (SELECT count(*) FROM o), 6) AS share, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS uptime FROM o GROUP BY ROLLUP (operation)",
+    "latency_windows": f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '{_F}') AS start, event_type AS operation, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
+    "sessions_expired": f"SELECT expired, count(*) AS n FROM (SELECT user_id, min(ts) + INTERVAL 13 DAY <= TIMESTAMP '{T}' AS expired FROM events GROUP BY 1) GROUP BY 1",
+    "change_feed_rows": f"WITH {VER} SELECT memory_id, version, {_CHANGE} FROM versions WHERE created_at >= TIMESTAMP '2024-01-10' AND file_path LIKE '/src/3/%'",
     "migrate_workspace": f"WITH {MEM} SELECT CASE WHEN memory_id % 3 = 0 THEN 'default' ELSE workspace_id END AS workspace_id, count(*) AS n FROM memories GROUP BY 1",
     "stale_preview": f"WITH {MEM}, {CHUNKS} SELECT m.memory_id, count(c.memory_id) AS n_chunks FROM memories m LEFT JOIN chunks c ON c.memory_id = m.memory_id WHERE stale GROUP BY m.memory_id",
     "stale_counts": f"WITH {MEM}, {CHUNKS} SELECT count(DISTINCT m.memory_id) AS memories, count(c.memory_id) AS chunks FROM memories m LEFT JOIN chunks c ON c.memory_id = m.memory_id WHERE stale",
