@@ -18,26 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder and runs on one machine, as in tests.
-LOCAL_WORK = "/tmp/checkpoints/engram"
-NULL_ID = np.iinfo(np.int64).max
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in a session of one machine.
-
-    A cluster without that setting is an error: each executor would write to its own disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = LOCAL_WORK
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from engram.store import remove, work_dir
 
+NULL_ID = np.iinfo(np.int64).max
 
 #: Folders of written tables that stand, by application.
 _TABLES: dict[str, list[str]] = {}
@@ -54,11 +37,6 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def written(spark: SparkSession) -> int:
     """How many tables of this session stand."""
     return len(_TABLES.get(spark.sparkContext.applicationId, []))
@@ -78,7 +56,7 @@ def discard(spark: SparkSession, since: int = 0) -> None:
 def scratch(spark: SparkSession):
     """Removes the tables written inside the block, also after an error, but for those given to the function it yields."""
     mine = _TABLES.setdefault(spark.sparkContext.applicationId, [])
-    since, kept = len(mine), []
+    before, kept = set(mine), []
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df.written_at)
@@ -90,7 +68,7 @@ def scratch(spark: SparkSession):
         kept.clear()
         raise
     finally:
-        for path in [p for p in mine[since:] if p not in kept]:
+        for path in [p for p in mine if p not in before and p not in kept]:
             mine.remove(path)
             remove(spark, path)
 
@@ -200,5 +178,15 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
 
+def about_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of a text column as the sizes of a lone source's files tell, three times theirs; else by a scan.
+
+    Good for numbers of partitions: it may be off by as much as the text compresses.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = int(str(leaves.apply(0).stats().sizeInBytes())) if leaves.size() == 1 else 0
+    return 3 * size if 0 < size < 1 << 55 else total_bytes(df, column)  # a source of unknown size has the greatest number
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import documents, ship, small_batches, table, text_bytes, total_bytes
+from engram.llm.common import about_bytes, documents, ship, small_batches, table, text_bytes
 from engram.llm.tokens import unusual_space, word_tokens
 
 MAGIC = b"EGSEG002"
@@ -112,13 +112,14 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 1, segment_byt
     """Token ids of docs (doc_id, text) as a table of segments in ascending order of (part, seq), written and reread.
 
     A null text is empty and yields the end id alone; null ids come first; rows that share an id stand together,
-    by text. tokenizer: a file of the tokenizers library that drops white space, see WordTokens; executors read it at
+    in an order by hash of the text and text. tokenizer: a file of the tokenizers library that drops white space, see WordTokens; executors read it at
     this path. Documents are range-dealt by id before they are encoded: text takes less space than its ids.
     """
     spark = docs.sparkSession
     ship(spark)
-    n = max(2 * spark.sparkContext.defaultParallelism, -(-total_bytes(docs) // part_bytes), 1)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-about_bytes(docs) // part_bytes), 1)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # many rows of one id, or none, may part at a text
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

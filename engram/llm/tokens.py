@@ -76,10 +76,10 @@ def unusual_space(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class _Units(dict):
     """What is known of units of text, in two generations: when one is full, the one before it is forgotten.
 
-    An entry takes about 160 bytes, so most entries in two generations are some 40 MB.
+    An entry takes about 160 bytes, so most entries in two generations are some 80 MB.
     """
 
-    def __init__(self, make, most: int = 130_000):
+    def __init__(self, make, most: int = 250_000):
         super().__init__()
         self.make, self.most, self.before = make, most, {}
 
