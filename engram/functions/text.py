@@ -34,9 +34,10 @@ def tokenize(text: Column, least: int = 2) -> Column:
     odd = s.rlike("[\\p{M}\\p{Pc}\\x{200C}\\x{200D}&&[^_]]")
     s = F.regexp_replace(s, "(?U)[^\\w\\s]|_", " ")
     s = F.regexp_replace(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    long = lambda t: (F.length(t) >= least) & (~odd | t.rlike("[\\p{L}\\p{N}]"))
-    keep = long if least <= 2 else (lambda t: long(t) | t.isin(*CODE_KEYWORDS))
-    return F.filter(F.split(F.lower(s), "\\s+"), keep)
+    tokens = F.split(F.lower(s), "\\s+")
+    kept = lambda t: F.length(t) >= least if least <= 2 else (F.length(t) >= least) | t.isin(*CODE_KEYWORDS)
+    # the look at the whole text stands outside: inside, it would be had again for every token
+    return F.when(odd, F.filter(tokens, lambda t: kept(t) & t.rlike("[\\p{L}\\p{N}]"))).otherwise(F.filter(tokens, kept))
 
 
 def identifier_words(name: Column) -> Column:
