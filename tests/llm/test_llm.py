@@ -82,10 +82,13 @@ def test_cut_of_least_risk():
     pos = rng.normal(4, 1, 500)
     unl = np.concatenate([rng.normal(-4, 1, 9000), rng.normal(4, 1, 1000)])
     assert -1.5 < toxicity.best_cut(pos, unl, 0.1) < 1.5  # between the kinds, not at the edge of either
-    cuts = np.linspace(-8, 8, 400)
-    risk = [0.1 * (pos < c).mean() + max((unl >= c).mean() - 0.1 * (pos >= c).mean(), 0) for c in cuts]
-    c = toxicity.best_cut(pos, unl, 0.1)
-    assert 0.1 * (pos < c).mean() + max((unl >= c).mean() - 0.1 * (pos >= c).mean(), 0) <= min(risk) + 1e-12
+    for shift in (2, 4):  # also where the kinds overlap, and with a prior that is twice the true one
+        pos, unl = rng.normal(shift, 1, 500), np.concatenate([rng.normal(-2, 1, 9000), rng.normal(shift, 1, 1000)])
+        risk = lambda c, p: (unl >= c).mean() + 2 * p * (pos < c).mean()  # noqa: E731, B023
+        for prior in (0.1, 0.2):
+            c = toxicity.best_cut(pos, unl, prior)
+            assert risk(c, prior) <= min(risk(x, prior) for x in np.linspace(-8, 8, 400)) + 1e-9
+            assert ((unl >= c)[:9000]).mean() < 0.02
 
 
 def test_toxicity_odd(spark, odd, none):
@@ -634,6 +637,49 @@ def test_pipeline_brute(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in after.collect()) == want
 
 
+def test_pipeline_stages_odd(spark, odd, none):
+    """Nulls, empty texts, repeated rows and columns named as the stages name theirs; then no rows at all."""
+    import corpus_pipeline as p
+
+    names = ("_gone", "row", "copies", "place", "_mark_a", "key", "size", "kept", "score")
+    for docs in (odd, none):
+        docs = docs.withColumns({n: F.lit(n) for n in names})
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            rows = out.collect()
+            assert all(r[n] == n for r in rows for n in names)
+            assert len(rows) == 0 if docs.isEmpty() else len(rows) > 0, name
+        assert p.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_tables_go_when_their_job_is_done(spark):
+    from engram.llm.common import discard, scratch, table, written
+
+    before = written(spark)
+    with scratch(spark) as keep:
+        a, b = keep(table(spark.range(3), "a")), table(spark.range(4), "b")
+        assert b.count() == 4 and written(spark) == before + 2
+    assert a.count() == 3 and written(spark) == before + 1
+    with pytest.raises(ZeroDivisionError), scratch(spark) as keep:
+        keep(table(spark.range(5), "c"))
+        raise ZeroDivisionError
+    assert written(spark) == before + 1
+    discard(spark, before)
+    assert written(spark) == before
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from engram.store import work_dir
+
+    conf = N(get=lambda *a: None)
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            work_dir(N(conf=conf, sparkContext=N(master=master, getConf=lambda: conf)))
+
+
 def test_run_twice_agrees(spark):
     import corpus_pipeline as p
 
