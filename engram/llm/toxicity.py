@@ -114,15 +114,15 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 3
 def best_cut(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> float:
     """The logit from which on to call a text toxic: the middle of the widest run of cuts of least risk.
 
-    The risk of a cut is that of the training, with errors counted: prior * missed positives + the unlabelled above it
-    beyond what prior explains, not below 0. The logits must come from models that were fitted without these rows.
+    The risk of a cut is the corrected one of positive-unlabelled learning, with errors counted: prior * missed
+    positives + the unlabelled above it - prior * found positives. It isn't cut off at 0 here: then a lower cut that
+    finds nothing more would cost nothing. The logits must come from models that were fitted without these rows.
     """
     z = np.unique(np.concatenate((z_pos, z_unl)))
     cuts = np.append((z[1:] + z[:-1]) / 2, z[-1] + 1) if len(z) else np.zeros(1)
-    p, u = np.sort(z_pos), np.sort(z_unl)
-    missed = np.searchsorted(p, cuts) / max(len(p), 1)
-    extra = 1 - np.searchsorted(u, cuts) / max(len(u), 1) - prior * (1 - missed)
-    risk = prior * missed + np.maximum(extra, 0)
+    missed = np.searchsorted(np.sort(z_pos), cuts) / max(len(z_pos), 1)
+    above = 1 - np.searchsorted(np.sort(z_unl), cuts) / max(len(z_unl), 1)
+    risk = above + 2 * prior * missed
     best = np.flatnonzero(risk <= risk.min() + 1e-12)
     runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
     wide = max(runs, key=lambda r: cuts[r[-1]] - cuts[r[0]])
