@@ -25,6 +25,7 @@ BUILTINS = (
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.BoolOp, ast.IfExp, ast.comprehension)
 SYMBOLS = "path string, kind string, name string, qualified string, line long, end_line long, doc string, params array<string>, bases array<string>, decorators array<string>, is_async boolean, is_generator boolean, is_static boolean, is_abstract boolean, is_private boolean, complexity long"
 CALLS = "path string, caller string, callee string, receiver string, line long, col long, type string, args long"
+PARTS = "path string, kind string, qualified string, line long, end_line long, doc string, body string"
 CHUNKS = "path string, kind string, name string, first_line long, last_line long, text string"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
@@ -86,29 +87,63 @@ def _parse(text: str) -> ast.Module | None:
         return None
 
 
+#: Rows, and characters of their files, after which a batch is handed on.
+BATCH_ROWS, BATCH_CHARS = 2048, 4 << 20
+#: Tasks a core that files are dealt to.
+TASKS_A_CORE = 4
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """Files (path, text) dealt to all cores: parsing takes long for few bytes, and splits by size leave it to few tasks."""
+    n = TASKS_A_CORE * max(files.sparkSession.sparkContext.defaultParallelism, TASKS_A_CORE)
+    return files.select("path", "text").repartition(n, "path", "text")
+
+
 def _rows(files: DataFrame, of: Callable[[str, str], Iterable[dict]], schema: str) -> DataFrame:
-    """of(path, text) for each file (path, text); a null text is empty."""
+    """of(path, text) for each file (path, text); a null text is empty. Batches hold the rows of many files."""
     fields = pa.schema([(n, _KINDS[k]) for n, k in (x.strip().split(" ") for x in schema.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if rows := list(of(path or "", text or "")):
-                    yield pa.RecordBatch.from_pylist(rows, schema=fields)
+                rows += of(path or "", text or "")
+                chars += len(text or "")
+                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema=fields)
+                    rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=fields)
+
+    return dealt(files).mapInArrow(run, schema)
 
-    return files.select("path", "text").mapInArrow(run, schema)
+
+def _symbols(path: str, text: str) -> Iterable[dict]:
+    if language_of(path) != "python":
+        return Source(path, text, language_of(path)).symbols()
+    tree = _parse(text)
+    return [_symbol(path, n, q) for n, q in _functions(tree)] if tree else []
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """Declarations of files (path, text): see SYMBOLS. Python's nested ones are named outer.inner; a file that doesn't parse has none."""
 
-    def of(path: str, text: str) -> Iterable[dict]:
-        if language_of(path) != "python":
-            return Source(path, text, language_of(path)).symbols()
-        tree = _parse(text)
-        return [_symbol(path, n, q) for n, q in _functions(tree)] if tree else []
+    return _rows(files, _symbols, SYMBOLS)
+
 
-    return _rows(files, of, SYMBOLS)
+def parts(files: DataFrame) -> DataFrame:
+    """Functions, methods and classes of files (path, text) with the lines that are theirs: see PARTS; a file without one is a part as a whole."""
+
+    def of(path: str, text: str) -> Iterator[dict]:
+        lines = text.split("\n")
+        found = [x for x in _symbols(path, text) if x["kind"] in ("function", "method", "class")]
+        for x in found:
+            yield {k: x[k] for k in ("path", "kind", "qualified", "line", "end_line", "doc")} | {"body": "\n".join(lines[x["line"] - 1 : x["end_line"]])}
+        if not found:
+            yield {"path": path, "kind": "file", "qualified": None, "line": 1, "end_line": len(lines), "doc": None, "body": text}
+
+    return _rows(files, of, PARTS)
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -392,3 +392,24 @@ def test_long_version_chain(spark):
     got = {r["memory_id"]: r["depth"] for r in temporal.version_chain(v, 249).collect()}
     assert got == {249 - d: d for d in range(250)}
     assert {r["memory_id"] for r in temporal.version_chain(v, 500).collect()} == {500, 501} and temporal.version_chain(v, 999).count() == 0
+
+
+def test_files_are_dealt_to_all_cores(spark):
+    f = spark.createDataFrame([(f"m{i}.py", f"def f{i}():\n    g()\n") for i in range(400)], "path string, text string").coalesce(1)
+    for made in (code.symbols(f), code.calls(f), code.ast_chunks(f), code.syntax(f), code.imports(f), code.parts(f)):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r["path"] for r in code.symbols(f).collect()} == {f"m{i}.py" for i in range(400)}
+    one = spark.createDataFrame([("long.py", "".join(f"def f{i}(): pass\n" for i in range(2 * code.BATCH_ROWS + 1)))], "path string, text string")
+    assert code.symbols(one).count() == 2 * code.BATCH_ROWS + 1
+
+
+def test_memories_parse_once(spark):
+    rows = [("a.py", "def f():\n    pass\n\nclass C:\n    x = 1\n"), ("b.md", "one\ntwo"), ("c.ts", "interface I { }\n"), ("d.py", "  "), ("e.py", None), ("twice.py", "def f(): 1"), ("twice.py", "def f(): 2")]
+    m = codebase.memories(spark.createDataFrame(rows, "relative_path string, text string"))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    got = sorted((r["file_path"], r["qualified_name"] or "", r["tags"][2], r["first_line"], r["last_line"], r["text"].split("\n", 1)[1]) for r in m.collect())
+    assert got == [
+        ("a.py", "C", "class", 4, 5, "class C:\n    x = 1"), ("a.py", "f", "function", 1, 2, "def f():\n    pass"), ("b.md", "", "file", 1, 2, "one\ntwo"), ("c.ts", "", "file", 1, 2, "interface I { }\n"),
+        ("twice.py", "f", "function", 1, 1, "def f(): 1"), ("twice.py", "f", "function", 1, 1, "def f(): 2"),
+    ]
