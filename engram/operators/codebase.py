@@ -16,12 +16,7 @@ def memories(files: DataFrame, workspace: str = "default") -> DataFrame:
     file without either is a memory as a whole. The id is a hash of workspace, path, name and line, the digest that of
     the text, so a second scan of the same file gives the same rows.
     """
-    f = files.select(F.col("relative_path").alias("path"), "text").where(F.trim("text") != "")
-    found = code.symbols(f).where(F.col("kind").isin("function", "method", "class")).select("path", "kind", "qualified", "line", "end_line", "doc")
-    lined = f.withColumn("lines", F.split("text", "\n"))
-    parts = found.join(lined, "path").withColumn("body", F.array_join(F.slice("lines", F.col("line").cast("int"), (F.col("end_line") - F.col("line") + 1).cast("int")), "\n"))
-    alone = f.join(found.select("path").distinct(), "path", "left_anti").select("path", F.lit("file").alias("kind"), F.lit(None).cast("string").alias("qualified"), F.lit(1).cast("long").alias("line"), F.size(F.split("text", "\n")).cast("long").alias("end_line"), F.lit(None).cast("string").alias("doc"), F.col("text").alias("body"))
-    every = parts.select("path", "kind", "qualified", "line", "end_line", "doc", "body").unionByName(alone)
+    every = code.parts(files.select(F.col("relative_path").alias("path"), "text").where(F.trim("text") != ""))
     lang = sources.language("path")
     head = F.concat_ws(" ", F.lit("#"), F.col("kind"), F.col("qualified"), F.lit("in"), F.col("path"))
     text = F.concat_ws("\n", head, "doc", "body")
