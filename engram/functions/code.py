@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.languages import Source
+from engram.session import tasks
 from engram.sources.files import LANGUAGES
 
 # Names whose calls are builtin.
@@ -89,14 +90,11 @@ def _parse(text: str) -> ast.Module | None:
 
 #: Rows, and characters of their files, after which a batch is handed on.
 BATCH_ROWS, BATCH_CHARS = 2048, 4 << 20
-#: Tasks a core that files are dealt to.
-TASKS_A_CORE = 4
 
 
 def dealt(files: DataFrame) -> DataFrame:
     """Files (path, text) dealt to all cores: parsing takes long for few bytes, and splits by size leave it to few tasks."""
-    n = TASKS_A_CORE * max(files.sparkSession.sparkContext.defaultParallelism, TASKS_A_CORE)
-    return files.select("path", "text").repartition(n, "path", "text")
+    return files.select("path", "text").repartition(tasks(files.sparkSession), "path", "text")
 
 
 def _rows(files: DataFrame, of: Callable[[str, str], Iterable[dict]], schema: str) -> DataFrame:

@@ -20,3 +20,8 @@ def session(master: str | None = None, name: str = "engram", **conf: str) -> Spa
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks that long work over few bytes is dealt to: splits by size would leave it to few of them."""
+    return 4 * max(spark.sparkContext.defaultParallelism, 4)
