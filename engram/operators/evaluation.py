@@ -12,15 +12,17 @@ def evaluate(hits: DataFrame, relevant: DataFrame, k: int, by: list[str] = []) -
     hits: by, id, rank (from 1); relevant: by, id, grade (relevant above 0). recall = hits in the first k / relevant;
     precision = those / k; mrr = 1 / first hit's rank; ap = precision at each hit / relevant; gains are 2^grade - 1.
     Without relevant rows, or with k below 1, all that depends on them is 0. Lists are joined and summed, never
-    collected; ideal ranks come from a window over the relevant rows of one list.
+    collected; ideal ranks come from the first k relevant rows of one list.
     """
     by = by or ["_list"]
     one = "_list" in by
     h = hits.withColumn("_list", F.lit(1)) if one else hits
     r = (relevant.withColumn("_list", F.lit(1)) if one else relevant).where("grade > 0").select(*by, "id", "grade")
-    total = r.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("grade"), "id")))
     gain = lambda g, p: (F.pow(F.lit(2.0), g) - 1) / F.log2(p + 1)
-    total = total.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("place") <= k, gain(F.col("grade"), F.col("place")))).alias("ideal"))
+    # each task keeps k rows of a list, so a long list isn't sorted in one
+    top = r.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("grade"), "id"))).where(F.col("place") <= k)
+    ideal = top.groupBy(*by).agg(F.sum(gain(F.col("grade"), F.col("place"))).alias("ideal"))
+    total = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(ideal, by, "left")
     found = h.dropDuplicates([*by, "id"]).join(r, [*by, "id"], "left").withColumn("hit", F.col("grade").isNotNull().cast("int"))
     found = found.withColumn("seen", F.sum("hit").over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     got = found.groupBy(*by).agg(
