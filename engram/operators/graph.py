@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.session import tasks
 from engram.store import materialised, remove
 
 #: Types that a count by type always lists.
@@ -234,14 +235,30 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, kind: str) -> N
     parted.unionByName(frame).repartitionByRange("o", "key", "n").sortWithinPartitions("o", "key", "n").select("line").write.text(folder)
 
 
+#: Bytes of input files for each task that forms pairs.
+PAIR_BYTES = 2 << 20
+
+
+def _parts(df: DataFrame) -> int:
+    """Parts that keep what a task holds the same size: by the bytes of the files that df comes from."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 50)  # a table that isn't in files has no size
+    return max(tasks(df.sparkSession), -(-known // PAIR_BYTES))
+
+
 def cooccurrence(mentions: DataFrame, least: int = 2) -> DataFrame:
     """src, dst, n: entities that stand in so many chunks together. mentions: chunk_id, entity, deduplicated here.
 
-    Pairs are formed inside each chunk's own array of entities, so no self-join on a hot entity is needed.
+    Pairs are formed inside each chunk's own array of entities, so no self-join on a hot entity is needed. Chunks are
+    dealt to parts, pairs counted in each and then over all; parts grow in number with the input, not in size.
     """
-    sets = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("e"))
+    n = _parts(mentions)
+    dealt = mentions.select("chunk_id", "entity", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).alias("part")).repartition(n, "part")
+    sets = dealt.groupBy("part", "chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("e"))
     at = F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.struct(x.alias("src"), y.alias("dst"))))
-    return sets.select(F.explode(F.flatten(at)).alias("p")).select("p.*").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    pairs = sets.select("part", F.explode(F.flatten(at)).alias("p")).select("part", "p.*").groupBy("part", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select("src", "dst", "n").repartition(n, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def capitalised_mentions(docs: DataFrame, id: str = "doc_id") -> DataFrame:

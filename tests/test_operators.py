@@ -420,3 +420,21 @@ def test_memories_parse_once(spark):
 ])
 def test_html_references_end_in_semicolons(spark, page, want):
     assert spark.createDataFrame([(page,)], "h string").select(text.html_text(F.col("h"))).first()[0] == want
+
+
+def test_cooccurrence_parts_grow_with_the_input(spark, tmp_path, monkeypatch):
+    rows = [(c, f"e{(c * k) % 7}") for c in range(60) for k in range(4)] * 2
+    spark.createDataFrame(rows, "chunk_id long, entity string").coalesce(1).write.parquet(str(tmp_path / "m"))
+    m = spark.read.parquet(str(tmp_path / "m"))
+    want = {}
+    for c in range(60):
+        e = sorted({x for d, x in rows if d == c})
+        for i, a in enumerate(e):
+            for b in e[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    for size in (graph.PAIR_BYTES, 40):
+        monkeypatch.setattr(graph, "PAIR_BYTES", size)
+        for df in (m, spark.createDataFrame(rows, m.schema)):
+            got = graph.cooccurrence(df, 3)
+            assert {(r["src"], r["dst"]): r["n"] for r in got.collect()} == {k: v for k, v in want.items() if v >= 3}
+    assert graph.cooccurrence(m, 3).rdd.getNumPartitions() == graph._parts(m) > 16
